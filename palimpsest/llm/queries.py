@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import common
+from palimpsest.llm.quality import quality
 from palimpsest.llm.token_counts import token_counts
 
 
@@ -12,6 +13,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.read(spark, sf_dir, "documents"), common.tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op5_token_counts": op5_token_counts}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op5_token_counts": op5_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
