@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import common
+from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.quality import quality
 from palimpsest.llm.token_counts import token_counts
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.read(spark, sf_dir, "documents"), common.tokenizer_path("piece_bpe_32k.model"))
 
@@ -18,6 +24,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op5_token_counts": op5_token_counts}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_token_counts, op6_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
