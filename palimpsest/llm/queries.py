@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import common
 from palimpsest.llm.decontaminate import contamination
+from palimpsest.llm.near_dup import near_duplicates
 from palimpsest.llm.quality import quality
 from palimpsest.llm.token_counts import token_counts
 
@@ -24,6 +25,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_token_counts, op6_quality_rules)}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_token_counts, op6_quality_rules, op8_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
