@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common
+from palimpsest.llm import bpe, common
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.near_dup import near_duplicates
 from palimpsest.llm.quality import quality
@@ -29,6 +29,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_token_counts, op6_quality_rules, op8_near_dedup)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(common.read(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_token_counts, op6_quality_rules, op8_near_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
