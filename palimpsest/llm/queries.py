@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, common
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.near_dup import near_duplicates
 from palimpsest.llm.quality import quality
+from palimpsest.llm.substring_dedup import without_repeats
 from palimpsest.llm.token_counts import token_counts
 
 
@@ -16,6 +18,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.read(spark, sf_dir, "documents"), common.tokenizer_path("piece_bpe_32k.model"))
 
@@ -33,6 +40,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(common.read(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_token_counts, op6_quality_rules, op8_near_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op8_near_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -69,8 +69,8 @@ class Words:
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column, and n + 1 offsets into them; null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """The bytes of a string or binary column, and n + 1 offsets into them; null is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
