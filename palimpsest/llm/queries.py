@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, common
 from palimpsest.llm.decontaminate import contamination
+from palimpsest.llm.main_text import extract
 from palimpsest.llm.near_dup import near_duplicates
 from palimpsest.llm.quality import quality
 from palimpsest.llm.substring_dedup import without_repeats
 from palimpsest.llm.token_counts import token_counts
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(common.read(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -40,6 +45,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(common.read(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op8_near_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_main_text, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op8_near_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
