@@ -12,6 +12,12 @@ from palimpsest.llm.near_dup import near_duplicates
 from palimpsest.llm.quality import quality
 from palimpsest.llm.substring_dedup import without_repeats
 from palimpsest.llm.token_counts import token_counts
+from palimpsest.llm.token_files import token_files
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files(common.read(spark, sf_dir, "documents"), common.tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +51,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(common.read(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op2_main_text, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op8_near_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_main_text, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op8_near_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
