@@ -323,12 +323,12 @@ def keep_one_each(docs: DataFrame, max_broadcast: int = 500_000, **options) -> D
     """
     verdicts = stored(near_duplicates(docs, max_broadcast=max_broadcast, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "verdicts")
     id_of = docs["doc_id"].cast("long")
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_id"))
-    left = docs.join(few(gone, max_broadcast), id_of == F.col("_id"), "left_anti")
-    repeated = verdicts.where("kept and times > 1").select(F.col("doc_id").alias("_id"))
+    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_palimpsest_id"))
+    left = docs.join(few(gone, max_broadcast), id_of == F.col("_palimpsest_id"), "left_anti")
+    repeated = verdicts.where("kept and times > 1").select(F.col("doc_id").alias("_palimpsest_id"))
     if not repeated.limit(1).count():
         return left
-    again = left.join(few(repeated, max_broadcast), id_of == F.col("_id"), "left_semi")
-    order = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(*docs.columns)))
-    one = again.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_n", order).where("_n = 1").drop("_id", "_n")
-    return left.join(few(repeated, max_broadcast), id_of == F.col("_id"), "left_anti").unionByName(one)
+    again = left.join(few(repeated, max_broadcast), id_of == F.col("_palimpsest_id"), "left_semi")
+    order = F.row_number().over(Window.partitionBy("_palimpsest_id").orderBy(F.xxhash64(*docs.columns)))
+    one = again.withColumn("_palimpsest_id", F.col("doc_id").cast("long")).withColumn("_palimpsest_n", order).where("_palimpsest_n = 1").drop("_palimpsest_id", "_palimpsest_n")
+    return left.join(few(repeated, max_broadcast), id_of == F.col("_palimpsest_id"), "left_anti").unionByName(one)
