@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, common
+from palimpsest.llm.chat import format_chats
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.main_text import extract
 from palimpsest.llm.near_dup import near_duplicates
@@ -13,6 +14,7 @@ from palimpsest.llm.quality import quality
 from palimpsest.llm.substring_dedup import without_repeats
 from palimpsest.llm.token_counts import token_counts
 from palimpsest.llm.token_files import token_files
+from palimpsest.llm.weak_labels import classify
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,14 +45,37 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(common.read(spark, sf_dir, "conversations"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(common.read(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_main_text, op3_decontamination, op4_substring_dedup, op5_token_counts, op6_quality_rules, op8_near_dedup, op10_bpe)}
-
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_main_text,
+        op3_decontamination,
+        op4_substring_dedup,
+        op5_token_counts,
+        op6_quality_rules,
+        op7_chat_format,
+        op8_near_dedup,
+        op9_quality_classifier,
+        op10_bpe,
+    )
+}
+
+#: SQL can express none of them: tests/llm compares each with a brute-force version.
 ORACLE_SQL: dict[str, str] = {}
