@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import documents
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACES = regex.compile(r"\s+")
-NOT_ASCII = regex.compile(r"[^\x00-\x7f]")
+#: White space runs other than one space.
+SPACES = regex.compile(r" \s+|[^\S ]\s*")
 END = "</w>"
 
 
@@ -151,41 +152,47 @@ def coder(path: str) -> Coder:
 class Coder:
     """Encodes chunks between spaces, each distinct one once as long as it is remembered."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 400_000
 
     def __init__(self, path: str):
         self.bpe = PairIndexBpe(path)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.bpe.added, key=len, reverse=True)) + ")") if self.bpe.added else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        """The text's chunks; an added token is one, led by a space, which no other chunk holds."""
-        if self.special is None or "<|" not in text:
-            return normalized(text).split(" ")
+    def special_chunks(self, text: str) -> list[str] | None:
+        """The chunks of a text that holds added tokens, each of these led by a space, which begins no other; None if it holds none."""
+        if self.special is None or "<|" not in text or not self.special.search(text):
+            return None
         out: list[str] = []
         for k, part in enumerate(self.special.split(text)):
-            out += [" " + part] if k % 2 else normalized(part).split(" ")
+            out += [" " + part] if k % 2 else [c for c in normalized(part).split(" ") if c]
         return out
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts) - self.known.keys() if texts else set()
-        if len(self.known) + len(new) > self.REMEMBERED:
-            self.known = {}
-            new = set().union(*texts)
-        order = list(new)
-        split = [[] if c.startswith(" ") else WORD.findall(c) for c in order]
+    def learn(self, chunks: list[str]) -> None:
+        """Ids and decoded tokens of distinct chunks, as strings."""
+        if len(self.ids) > self.REMEMBERED:
+            keep = [c for c in chunks if c in self.ids]
+            self.ids, self.decoded = {c: self.ids[c] for c in keep}, {c: self.decoded[c] for c in keep}
+        order = [c for c in chunks if c not in self.ids]
+        split = [[] if c[:1] == " " else WORD.findall(c) for c in order]
         words = list({w for s in split for w in s})
         ids, counts = self.bpe.encode([w.encode() for w in words])
-        ends = np.cumsum(counts).tolist()
-        listed, names = ids.tolist(), self.bpe.tokens
+        listed, names = list(map(str, ids.tolist())), [self.bpe.tokens[i] for i in ids.tolist()]
         of = {}
         start = 0
-        for w, end in zip(words, ends, strict=True):
-            of[w] = listed[start:end]
+        for w, end in zip(words, np.cumsum(counts).tolist(), strict=True):
+            of[w] = (" ".join(listed[start:end]), " ".join(names[start:end]))
             start = end
         for c, s in zip(order, split, strict=True):
-            own = [self.bpe.added[c[1:]]] if c.startswith(" ") else [i for w in s for i in of[w]]
-            self.known[c] = (len(own), " ".join(map(str, own)), " ".join([names[i] for i in own]))
+            if len(s) == 1:
+                self.ids[c], self.decoded[c] = of[s[0]]
+            elif s:
+                self.ids[c], self.decoded[c] = (" ".join(x) for x in zip(*(of[w] for w in s), strict=True))
+            elif c[:1] == " ":
+                self.ids[c], self.decoded[c] = str(self.bpe.added[c[1:]]), c[1:]
+            else:
+                self.ids[c] = self.decoded[c] = ""
 
 
 ENCODED = "doc_id long, n_tokens long, ids string, decoded string"
@@ -196,17 +203,31 @@ def _encode(path: str, block_chars: int):
 
     def finish(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        cut = [own.chunks(t) for t in texts]
-        own.learn(cut)
-        known = own.known
-        for at in range(0, len(cut), 500):
-            counts, listed, decoded = [], [], []
-            for chunks in cut[at : at + 500]:
-                found = [x for x in map(known.__getitem__, chunks) if x[0]]
-                counts.append(sum([x[0] for x in found]))
-                listed.append(" ".join([x[1] for x in found]))
-                decoded.append(" ".join([x[2] for x in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array(counts, pa.int64()), pa.array(listed), pa.array(decoded)], schema=schema)
+        apart = {i: chunks for i, t in enumerate(texts) if (chunks := own.special_chunks(t)) is not None}
+        if apart:
+            own.learn(list(set().union(*apart.values())))
+            listed = [[" ".join([x for x in map(of.__getitem__, c) if x]) for c in apart.values()] for of in (own.ids, own.decoded)]
+            yield counted([ids[i] for i in apart], *(pa.array(x, pa.string()) for x in listed))
+            ids, texts = ([x for i, x in enumerate(y) if i not in apart] for y in (ids, texts))
+        if texts:
+            # Arrow splits, finds the distinct chunks, and puts their ids in the chunks' places.
+            parts = pc.split_pattern(pa.array([normalized(t).strip(" ") for t in texts], pa.string()), " ")
+            coded = parts.flatten().dictionary_encode()
+            chunks = coded.dictionary.to_pylist()
+            own.learn(chunks)
+            joined = []
+            for of in (own.ids, own.decoded):
+                placed = pa.array(map(of.__getitem__, chunks), pa.string(), size=len(chunks)).take(coded.indices)
+                whole = pc.binary_join(pa.ListArray.from_arrays(parts.offsets.cast(pa.int32()), placed), " ")
+                if not all(map(of.__getitem__, chunks)):  # chunks without tokens
+                    whole = pc.utf8_trim(pc.replace_substring_regex(whole, " +", " "), " ")
+                joined.append(whole)
+            for at in range(0, len(texts), 1000):
+                yield counted(ids[at : at + 1000], *(x.slice(at, 1000).cast(pa.string()) for x in joined))
+
+    def counted(ids: list, listed: pa.Array, decoded: pa.Array) -> pa.RecordBatch:
+        n = pc.add(pc.count_substring(listed, " "), pc.cast(pc.not_equal(listed, ""), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), n.cast(pa.int64()), listed, decoded], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -214,7 +235,7 @@ def _encode(path: str, block_chars: int):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids.append(doc_id)
                 texts.append(text or "")
-                held += len(texts[-1])
+                held += len(text or "")
                 if held >= block_chars:
                     yield from finish(ids, texts)
                     ids, texts, held = [], [], 0
@@ -223,7 +244,7 @@ def _encode(path: str, block_chars: int):
     return run
 
 
-def encode(docs: DataFrame, path: str, block_chars: int = 8_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_chars: int = 16_000_000) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by a space) and decoded, a row for each row of ``docs``.
 
     A task holds ``block_chars`` characters of text at a time, or one longer text.
