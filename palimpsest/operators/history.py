@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from palimpsest.plans.storage import stored
 
 
-def closure(commits: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, id, height of every commit that each start (start, id) reaches, itself included."""
+def closure(commits: DataFrame, starts: DataFrame, doublings: int = 2) -> DataFrame:
+    """start, id, height of every commit that each start (start, id) reaches, itself included.
+
+    Edges are first joined with themselves ``doublings`` times, so that a round
+    passes 2 ** doublings generations.
+    """
     edges = commits.select("id", F.explode("parents").alias("parent"))
+    for _ in range(doublings):
+        further = edges.select("id", F.col("parent").alias("via")).join(edges.select(F.col("id").alias("via"), "parent"), "via").select("id", "parent")
+        edges = stored(edges.union(further).distinct(), "edges")
     frontier = stored(starts.select("start", "id").distinct(), "frontier")
     seen = frontier
     while True:
@@ -31,7 +38,7 @@ def log(reached: DataFrame, limit: int) -> DataFrame:
     if not 1 <= limit <= 10_000:
         raise ValueError("a log has 1 to 10,000 commits")
     by = Window.partitionBy("start").orderBy(F.desc("height"), "id")
-    return reached.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit)
+    return reached.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= limit)
 
 
 def merge_bases(reached: DataFrame, pairs: DataFrame) -> DataFrame:
