@@ -6,6 +6,7 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -27,15 +28,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    """For sessions that name no folder, as in local tests."""
+    return tempfile.mkdtemp(prefix="palimpsest-")
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors share.
 
     Where the session names none (a local test), a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{base.rstrip('/')}/palimpsest/{what}-{uuid.uuid4().hex}"
 
 
