@@ -525,3 +525,71 @@ def c03_document_chunks(spark, sf):
 def a05_chunk_stats(spark, sf):
     chunks = c03_document_chunks(spark, sf)
     return chunks.agg(F.count("*").alias("chunks"), F.count_distinct("hash").alias("distinct_chunks"), F.sum("bytes").alias("bytes"))
+
+
+# Checks and small reads.
+
+PRINCIPAL_CASES = "case c_custkey % 5 when 0 then concat('user:', c_name) when 1 then '' when 2 then concat('a', chr(10), c_name) when 3 then repeat('x', 257) else c_mktsegment end"
+
+
+@query(f"with n as (select c_custkey, {PRINCIPAL_CASES} p from customer) select c_custkey, strlen(p) between 1 and 256 and not regexp_matches(p, '[\\x00-\\x1f\\x7f]') valid from n")
+def f04_valid_principal(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", grammar.valid_principal(F.expr(PRINCIPAL_CASES)).alias("valid"))
+
+
+HASH_CASES = "case o_orderkey % 4 when 0 then upper({h}) when 1 then substr({h}, 1, 63) when 2 then concat({h}, '0') else {h} end"
+
+
+@query(f"select o_orderkey, regexp_matches({HASH_CASES.format(h='sha256(cast(o_orderkey as varchar))')}, '^[0-9a-f]{{64}}$') valid from orders")
+def f06_parse_hash(spark, sf):
+    text = F.expr(HASH_CASES.format(h="sha2(cast(o_orderkey as string), 256)"))
+    return table(spark, sf, "orders").select("o_orderkey", hashing.is_hash(text).alias("valid"))
+
+
+@query("select r_regionkey node, count(*) children, cast(sum(n) as bigint) n from region join nation on n_regionkey = r_regionkey join (select c_nationkey k, count(*) n from customer group by 1) on k = n_nationkey group by 1")
+def a01_subtree_counts(spark, sf):
+    leaves = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return leaves.join(table(spark, sf, "nation"), "n_nationkey").groupBy(F.col("n_regionkey").alias("node")).agg(F.count("*").alias("children"), F.sum("n").alias("n"))
+
+
+@query("select o_orderkey stream, coalesce(n, 0) size, coalesce(n, 0) <> o_orderkey % 300 wrong from orders left join (select l_orderkey k, cast(sum(cast(l_quantity as bigint)) as bigint) n from lineitem group by 1) on k = o_orderkey")
+def a02_stream_sizes(spark, sf):
+    sizes = stream_chunks(spark, sf).groupBy("stream").agg(F.sum("bytes").alias("n"))
+    claimed = table(spark, sf, "orders").select(F.col("o_orderkey").alias("stream"), (F.col("o_orderkey") % 300).alias("claim"))
+    size = F.coalesce("n", F.lit(0).cast("long"))
+    return claimed.join(sizes, "stream", "left").select("stream", size.alias("size"), (size != F.col("claim")).alias("wrong"))
+
+
+@query("select stream, n from (select l_orderkey stream, cast(sum(cast(l_quantity as bigint)) as bigint) n from lineitem group by 1) where n <= 60")
+def s09_bounded_read(spark, sf):
+    return stream_chunks(spark, sf).groupBy("stream").agg(F.sum("bytes").alias("n")).where("n <= 60")
+
+
+@query(f"with {STREAM_SQL} select stream, string_agg(cast(bytes as varchar), '|' order by seq) content, count(*) chunks from f group by stream")
+def s07_stream_read(spark, sf):
+    ordered = F.sort_array(F.collect_list(F.struct("seq", F.col("bytes").cast("string").alias("b"))))
+    return stream_chunks(spark, sf).groupBy("stream").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "|").alias("content"), F.count("*").alias("chunks"))
+
+
+@query("select distinct l_partkey k from lineitem where l_returnflag = 'A' union select p_partkey from part where p_size < 10")
+def u01_index_union(spark, sf):
+    a = table(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("k"))
+    return a.union(table(spark, sf, "part").where("p_size < 10").select("p_partkey")).distinct()
+
+
+@query(f"with {ENTRIES_SQL}, counted as (select sha256(cast(p_partkey + 100 as varchar)) hash, p_partkey from part) select p_partkey, hash from counted where hash not in (select hash from entries)")
+def d10_not_survived(spark, sf):
+    counted = table(spark, sf, "part").select("p_partkey", hashing.content_hash((F.col("p_partkey") + 100).cast("string")).alias("hash"))
+    return counted.join(entries(spark, sf).select("hash"), "hash", "left_anti").select("p_partkey", "hash")
+
+
+@query(
+    f"""with {PACKS_SQL}, c as (select *, live_bytes / bytes share from packs where live_n > 0 and live_n < n and live_bytes / bytes < 0.5),
+    s as (select pack, coalesce(sum(live_bytes) over (order by share, pack rows between unbounded preceding and 1 preceding), 0) copied from c),
+    f as (select hash, pack from (select e.hash, e.pack, row_number() over (partition by e.hash order by case when c.pack is null then 0 else 1 end, e.pack, e.seq) r from entries e left join condemned c on c.pack = e.pack) where r = 1)
+    select f.hash, f.pack from f join s on s.pack = f.pack where s.copied < 200000 and f.hash in (select hash from live)"""
+)
+def gc3_copied_chunks(spark, sf):
+    chosen = store.repack(store.liveness(entries(spark, sf), live(spark, sf)), 200_000).select("pack")
+    credited = store.first_locations(entries(spark, sf), condemned(spark, sf)).select("hash", "pack")
+    return credited.join(chosen, "pack", "left_semi").join(live(spark, sf), "hash", "left_semi").select("hash", "pack")
