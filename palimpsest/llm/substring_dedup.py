@@ -50,7 +50,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _records(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4_000_000):
+        for part in slices(batches, "text", 2_000_000):
             data, offsets = column_bytes(part.column("text"))
             one = Sums(data, 11)
             text, at, lo, hi = minimizers(data, offsets, length, WINDOW, one)
@@ -231,23 +231,20 @@ def _removed(length: int):
     return run
 
 
-def _few(df: DataFrame, bound: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= bound else df
-
-
 def _repeated(rows: DataFrame, weight) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of records with core, c1, c2: their distinct contexts with a count, those of them whose core has others, and each core's number."""
     firsts = [F.first(c).alias(c) for c in rows.columns if c not in {"c1", "c2", "weight"}]
     contexts = stored(rows.groupBy("c1", "c2").agg(F.sum(weight).alias("times"), *firsts), "contexts")
-    mixed = contexts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = stored(contexts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
     wanted = contexts.join(mixed, "core").withColumn("weight", F.least("times", F.lit(2)).cast("int"))
     return contexts, wanted, mixed
 
 
-def repeated_spans(texts: DataFrame, length: int, max_group: int, bundle: int, max_broadcast: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int, max_group: int, bundle: int) -> DataFrame:
     """rid, did, s, e: spans of the texts (rid, did, text) that repeated strings cover; they may overlap."""
     records = stored(texts.where(F.octet_length("text") >= length).mapInArrow(_records(length), RECORD), "records")
-    cores = records.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # Stored, so that Spark may split the records of a common core when it joins the two.
+    cores = stored(records.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     twice = stored(records.join(cores, "core", "left_semi"), "twice")
     drop_stored(records)
     contexts, wanted, _ = _repeated(twice, F.lit(1))
@@ -256,7 +253,7 @@ def repeated_spans(texts: DataFrame, length: int, max_group: int, bundle: int, m
 
     fields = F.struct("at", "lo", "hi", "core", "c1", "c2", "weight", "kinds")
     of_text = stored(wanted.groupBy("rid", "did").agg(F.collect_list(fields).alias("wanted")), "wanted")
-    with_text = texts.join(_few(of_text, max_broadcast), ["rid", "did"])
+    with_text = texts.join(of_text, ["rid", "did"])
     cut = with_text.select("rid", "did", "text", F.transform("wanted", lambda w: w.dropFields("kinds")).alias("wanted")).mapInArrow(_contexts(length), CONTEXT)
     kinds = stored(wanted.where(F.col("kinds") > max_group).select("core").distinct(), "large")
     pieces = stored(cut, "pieces")
@@ -286,20 +283,19 @@ def repeated_spans(texts: DataFrame, length: int, max_group: int, bundle: int, m
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = 400, carry: bool = False, max_group: int = 512, bundle: int = 2000, max_broadcast: int = 300_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, carry: bool = False, max_group: int = 512, bundle: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) and kept_text of every row of ``docs``.
 
     ``kept_text`` leaves out what a cut has left of a character. With
     ``carry``, the rows' own columns come as the struct ``row``.
-    ``max_broadcast`` bounds the documents whose spans are broadcast.
     """
     row = F.struct(*(docs[c] for c in docs.columns if c != "text")) if carry else F.struct(F.lit(1).alias("none"))
     base = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("did", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    spans = repeated_spans(base.select("rid", "did", "text"), length, max_group, bundle, max_broadcast)
+    spans = repeated_spans(base.select("rid", "did", "text"), length, max_group, bundle)
     of_text = stored(spans.groupBy("rid", "did").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
     kinds = f"row {base.schema['row'].dataType.simpleString()}, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
-    out = base.join(_few(of_text, max_broadcast), ["rid", "did"], "left").select("row", "doc_id", "text", "spans").mapInArrow(_removed(length), kinds)
+    out = base.join(of_text, ["rid", "did"], "left").select("row", "doc_id", "text", "spans").mapInArrow(_removed(length), kinds)
     return out if carry else out.drop("row")
 
 
