@@ -152,7 +152,7 @@ def coder(path: str) -> Coder:
 class Coder:
     """Encodes chunks between spaces, each distinct one once as long as it is remembered."""
 
-    REMEMBERED = 400_000
+    REMEMBERED = 250_000
 
     def __init__(self, path: str):
         self.bpe = PairIndexBpe(path)
@@ -240,11 +240,14 @@ def _encode(path: str, block_chars: int):
                     yield from finish(ids, texts)
                     ids, texts, held = [], [], 0
         yield from finish(ids, texts)
+        # The worker process lives on and may serve other stages.
+        coder(path).ids, coder(path).decoded = {}, {}
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def encode(docs: DataFrame, path: str, block_chars: int = 16_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by a space) and decoded, a row for each row of ``docs``.
 
     A task holds ``block_chars`` characters of text at a time, or one longer text.
