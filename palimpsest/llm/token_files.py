@@ -20,15 +20,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import documents, drop_stored, shared_dir, slices, stored
 
-MAX_BITS, EVERY, BLOCK = 20, 256, 65_536
+MAX_BITS, EVERY, BLOCK = 18, 256, 262_144
 #: White space as the tokenizers library takes it.
 WHITE = "\t-\r \x85\xa0  -     　"
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -44,7 +46,7 @@ def piece_coder(path: str) -> PieceCoder:
 class PieceCoder:
     """Ids of texts by the tokenizers library; each distinct piece is encoded once as long as it is remembered."""
 
-    REMEMBERED = 800_000
+    REMEMBERED = 1_500_000
 
     def __init__(self, path: str):
         import os
@@ -65,11 +67,11 @@ class PieceCoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, pieces: list[list[str]]) -> None:
-        new = set().union(*pieces) - self.known.keys() if pieces else set()
+    def learn(self, pieces: list[str]) -> None:
+        new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > self.REMEMBERED:
             self.known = {}
-            new = set().union(*pieces)
+            new = pieces
         led = [p for p in new if p[0] == " " and len(p) > 1]
         # Pieces led by a space keep their ids in a row of others: each begins with the one token that opens with it.
         for at in range(0, len(led), 4000):
@@ -91,9 +93,14 @@ class PieceCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not any(t in x for t in self.added) for x in texts]
         pieces = [PIECE.findall(x) if p else [] for x, p in zip(texts, plain, strict=True)]
-        self.learn(pieces)
-        known = self.known.__getitem__
-        return [b"".join(map(known, own)) if p else self.whole(x) for x, p, own in zip(texts, plain, pieces, strict=True)]
+        # Arrow finds the distinct pieces and puts their ids in the pieces' places.
+        coded = pa.array(chain.from_iterable(pieces), pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(distinct)
+        placed = pa.array(map(self.known.__getitem__, distinct), pa.binary(), size=len(distinct)).take(coded.indices)
+        offsets = pa.array(np.cumsum([0, *map(len, pieces)]), pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, placed), pa.scalar(b"", pa.binary())).to_pylist()
+        return [x if p else self.whole(t) for x, p, t in zip(joined, plain, texts, strict=True)]
 
 
 def _tokenize(path: str, end_id: int):
@@ -158,7 +165,7 @@ class Code:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray):
         order = np.lexsort((ids, lengths))
-        self.ids, self.lengths = ids[order], lengths[order]
+        self.ids, self.lengths = ids[order].astype(np.int64), lengths[order].astype(np.int64)
         self.bits = int(self.lengths.max(initial=1))
         steps = np.left_shift(np.int64(1), self.bits - self.lengths)
         begins = np.cumsum(steps) - steps  # left-aligned codes
@@ -170,12 +177,11 @@ class Code:
         self._steps = steps
 
     @property
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Id and length by the next ``bits`` bits."""
+    def table(self) -> np.ndarray:
+        """Of the next ``bits`` bits: 32 times the id, plus its code's length."""
         if not hasattr(self, "_table"):
-            symbol, length = np.repeat(self.ids, self._steps), np.repeat(self.lengths, self._steps)
-            pad = (1 << self.bits) - len(symbol)
-            self._table = np.append(symbol, np.zeros(pad, np.int64)), np.append(length, np.ones(pad, np.int64)).astype(np.int64)
+            table = np.repeat(32 * self.ids + self.lengths, self._steps)
+            self._table = np.append(table, np.ones((1 << self.bits) - len(table), np.int64)).astype(np.int32)
         return self._table
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
@@ -205,7 +211,7 @@ class Code:
 
     def decode(self, data: bytes, marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids at each checkpoint (a bit offset, and how many ids follow from it), end to end."""
-        symbol, length = self.table
+        table = self.table
         octets = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.int64)
         wide = (octets[:-3] << 24) | (octets[1:-2] << 16) | (octets[2:-1] << 8) | octets[3:]
         mask = (1 << self.bits) - 1
@@ -219,8 +225,9 @@ class Code:
                 live -= 1
             here = at[:live]
             look = (wide[here >> 3] >> (32 - self.bits - (here & 7))) & mask
-            out[:live, k] = symbol[look]
-            at[:live] = here + length[look]
+            found = table[look]
+            out[:live, k] = found >> 5
+            at[:live] = here + (found & 31)
         back = np.empty_like(out)
         back[by] = out
         return back[np.arange(out.shape[1])[None, :] < counts[:, None]]
@@ -234,7 +241,7 @@ BLOCKS = "shard int, block int, first long, doc_ids array<long>, sizes array<int
 def _code(code, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Code = code.value
-        for part in slices(batches, "ids", 4_000_000):
+        for part in slices(batches, "ids", 400_000):
             raw = part.column("ids").to_pylist()
             sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(dtype).itemsize
             payload, marks = own.encode(np.frombuffer(b"".join(raw), dtype), sizes)
