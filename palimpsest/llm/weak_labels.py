@@ -16,8 +16,9 @@ Repeated rows are scored each; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +58,22 @@ def quality_votes(c: dict[str, int], distinct: int) -> list[int]:
 
 
 def toxic_votes(words: list[str], beginnings: frozenset[str] = frozenset()) -> list[int]:
-    learned = sum(any(w[:k] in beginnings for k in LENGTHS) for w in set(words)) if beginnings else 0
-    persons, qualities, things = (sum(w in s for w in words) for s in (PERSONS, QUALITIES, THINGS))
+    counts = Counter(words)
+    persons, qualities, things, english = (sum(map(counts.__getitem__, own)) for own in (PERSONS, QUALITIES, THINGS, ENGLISH))
+    heads = heads_of(beginnings)
+    learned = sum(any(w[:k] in beginnings for k in LENGTHS) for w in counts if w[:4] in heads)
     share = (persons + qualities + things) / max(1, len(words))
     # English lists tell nothing of a text in another language that has none of their words.
-    clean = GOOD if 25 * sum(w in ENGLISH for w in words) >= len(words) else NONE
+    clean = GOOD if 25 * english >= len(words) else NONE
     votes = [_vote(persons, 1, 0), _vote(qualities, 1, 0), _vote(things, 1, 0), _vote(share, 0.01, 0.0005)]
     return [clean if v == GOOD else v for v in votes] + [_vote(learned, 1, 0)]
 
 
+@lru_cache(maxsize=4)
+def heads_of(beginnings: frozenset[str]) -> frozenset[str]:
+    return frozenset(b[:4] for b in beginnings)
+
+
 TASKS = {"quality": 6, "toxic": 5}
 VOTES = "doc_id long, tie long, quality int, toxic int, " + ", ".join(f"{c} long" for c in COUNTS) + ", distinct long"
 
@@ -222,7 +230,7 @@ def _score(models):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 1500, threshold: float = 0.85) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 1000, threshold: float = 0.85) -> DataFrame:
     """doc_id, and for each task the posterior of its labellers and the scorer's probability; low_quality, toxic, kept.
 
     The scorer learns from at most ``sample`` documents with a posterior of at
@@ -231,11 +239,11 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 150
     give one labeller more: see ``telling_beginnings``.
     """
     beginnings = telling_beginnings(docs, labels) if labels is not None else frozenset()
-    votes_only, votes_and_text = partial(_votes, beginnings=beginnings), partial(_votes_with_text, beginnings=beginnings)
+    votes_and_text = partial(_votes_with_text, beginnings=beginnings)
     rows = documents(docs).withColumn("tie", F.xxhash64("doc_id", "text"))
     spark = docs.sparkSession
-    voted_text = rows.mapInArrow(votes_and_text, VOTES + ", text string")
-    votes = stored(rows.mapInArrow(votes_only, VOTES), "votes")
+    voted_text = stored(rows.mapInArrow(votes_and_text, VOTES + ", text string"), "votes")  # votes are cast once
+    votes = voted_text.drop("text")
     models = {}
     for task, labellers in TASKS.items():
         counts = votes.groupBy(task).agg(F.count("*").alias("n")).toPandas()  # at most 3 ** labellers rows
@@ -245,8 +253,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 150
         is_bad = F.col(task).isin(bad) if bad else F.lit(False)
         picked = [votes.where(side).orderBy("tie").limit(sample).select("tie").distinct() for side in (is_bad, ~is_bad)]
         chosen = F.broadcast(picked[0].union(picked[1]))  # at most twice ``sample`` rows
-        texts = rows.join(chosen, "tie", "left_semi").select(*rows.columns)
-        own = texts.mapInArrow(votes_and_text, VOTES + ", text string").mapInArrow(_sample_features, "quality int, toxic int, columns array<int>, values array<float>").toPandas()
+        texts = voted_text.join(chosen, "tie", "left_semi").select(*voted_text.columns)
+        own = texts.mapInArrow(_sample_features, "quality int, toxic int, columns array<int>, values array<float>").toPandas()
         if not len(own):
             models[task] = (label, np.zeros(DIMENSIONS), -30.0)
             continue
