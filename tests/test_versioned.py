@@ -154,7 +154,7 @@ def test_repository_branches_merges_and_collects(repository):
     repo.resolve("main", 1, frame([(1, 7, "z", 1)]))
     repo.commit("main", "user:a", "merged")
     assert {r["k"]: r["s"] for r in repo.read("main").collect()} == {**dict.fromkeys(range(11), "a"), 1: "z", 2: "c"}
-    assert {r["k"] for r in repo.diff("v1", "main").collect()} == {1, 2, 10}
+    assert {r["key"] for r in repo.diff("v1", "main").collect()} == {1, 2, 10}
     assert repo.diff("v1", first).count() == 0
     assert len(repo.log("main", 10)) == 4 and repo.merge_base("main", "feature/x") == repo.resolve_ref("feature/x")
     assert len(repo.garbage()) == 1  # the merged snapshot before the conflict was settled
