@@ -196,7 +196,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         cuts = np.searchsorted(seen // DIMENSIONS, np.arange(part.num_rows + 1))
         lists = [(seen[a:b] % DIMENSIONS, total[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_pydict(
-            {"quality": part.column("quality"), "toxic": part.column("toxic")}
+            {"tie": part.column("tie"), "quality": part.column("quality"), "toxic": part.column("toxic")}
             | {"columns": pa.array([c for c, _ in lists], pa.list_(pa.int32())), "values": pa.array([v for _, v in lists], pa.list_(pa.float32()))}
         )
 
@@ -230,7 +230,7 @@ def _score(models):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 1000, threshold: float = 0.85) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 1500, threshold: float = 0.85) -> DataFrame:
     """doc_id, and for each task the posterior of its labellers and the scorer's probability; low_quality, toxic, kept.
 
     The scorer learns from at most ``sample`` documents with a posterior of at
@@ -254,15 +254,17 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 100
         picked = [votes.where(side).orderBy("tie").limit(sample).select("tie").distinct() for side in (is_bad, ~is_bad)]
         chosen = F.broadcast(picked[0].union(picked[1]))  # at most twice ``sample`` rows
         texts = voted_text.join(chosen, "tie", "left_semi").select(*voted_text.columns)
-        own = texts.mapInArrow(_sample_features, "quality int, toxic int, columns array<int>, values array<float>").toPandas()
-        if not len(own):
+        own = texts.mapInArrow(_sample_features, "tie long, quality int, toxic int, columns array<int>, values array<float>").toArrow().sort_by("tie")
+        if not own.num_rows:
             models[task] = (label, np.zeros(DIMENSIONS), -30.0)
             continue
-        target = label.posterior(own[task].to_numpy(np.int64))
+        target = label.posterior(own.column(task).to_numpy().astype(np.int64))
         share = max(target.mean(), 1e-6)
         balance = np.where(target >= 0.5, label.prior / share, (1 - label.prior) / max(1 - share, 1e-6))
         # Half way to the true shares: bad documents are few, and should be learned.
-        w, b = train(np.concatenate(own["columns"].to_list()), np.concatenate(own["values"].to_list()), np.cumsum([0, *map(len, own["columns"])]), target, np.sqrt(balance))
+        columns, values = (own.column(c).combine_chunks() for c in ("columns", "values"))
+        offsets = np.cumsum([0, *columns.value_lengths().to_pylist()])
+        w, b = train(columns.flatten().to_numpy(), values.flatten().to_numpy(), offsets, target, np.sqrt(balance))
         models[task] = (label, w, b)
     found = voted_text.mapInArrow(_score(spark.sparkContext.broadcast(models)), "doc_id long, quality_posterior double, quality_score double, toxic_posterior double, toxic_score double")
     return (

@@ -318,6 +318,29 @@ def test_op9_quality_classifier(spark, empty):
     assert weak_labels.classify(empty).count() == 0
 
 
+def test_op9_recall_and_false_alarms(spark):
+    docs, labels = common.read(spark, "/root/testdata/sf0.1", "documents"), common.read(spark, "/root/testdata/sf0.1", "labels")
+    held = weak_labels.classify(docs, labels).join(labels.select("doc_id", "quality", F.col("toxic").alias("is_toxic")), "doc_id").collect()
+
+    def rates(got, told):
+        bad, good = [r[got] for r in held if told(r)], [r[got] for r in held if not told(r)]
+        return sum(bad) / len(bad), sum(good) / len(good)
+
+    recall, alarms = rates("low_quality", lambda r: r["quality"] == 0)
+    assert recall > 0.88 and alarms < 0.01
+    recall, alarms = rates("toxic", lambda r: r["is_toxic"])
+    assert recall > 0.9 and alarms < 0.015
+
+
+def test_op9_learns_from_1500_documents_a_class(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(weak_labels, "train", lambda c, v, o, labels, weights: (seen.append((labels >= 0.5).sum()), seen.append((labels < 0.5).sum()), np.zeros(weak_labels.DIMENSIONS), 0.0)[2:])
+    bad = [(i, f"this idiot number {i} is stupid and this is the trash of it") for i in range(1600)]
+    good = [(i, f"this is number {i} of the things that are good for it") for i in range(1600, 3200)]
+    weak_labels.classify(spark.createDataFrame(bad + good, "doc_id long, text string"))
+    assert seen[2:] == [1500, 1500]  # of the second task, toxic
+
+
 def test_op9_accuracies_of_simulated_labellers():
     rng = np.random.default_rng(9)
     bad = rng.random(20_000) < 0.1
