@@ -235,8 +235,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 150
 
     The scorer learns from at most ``sample`` documents with a posterior of at
     least one half and as many with a lower one, per task, those of the least
-    hashes; everything else covers all documents. ``labels`` (doc_id, toxic)
-    give one labeller more: see ``telling_beginnings``.
+    hashes, rows that repeat doc_id and text once; everything else covers all
+    rows. ``labels`` (doc_id, toxic) give one labeller more: see
+    ``telling_beginnings``.
     """
     beginnings = telling_beginnings(docs, labels) if labels is not None else frozenset()
     votes_and_text = partial(_votes_with_text, beginnings=beginnings)
@@ -251,9 +252,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 150
         patterns = counts[task].to_numpy(np.int64)
         bad = [int(p) for p, q in zip(patterns, label.posterior(patterns), strict=True) if q >= 0.5]
         is_bad = F.col(task).isin(bad) if bad else F.lit(False)
-        picked = [votes.where(side).orderBy("tie").limit(sample).select("tie").distinct() for side in (is_bad, ~is_bad)]
+        picked = [votes.where(side).select("tie").distinct().orderBy("tie").limit(sample) for side in (is_bad, ~is_bad)]
         chosen = F.broadcast(picked[0].union(picked[1]))  # at most twice ``sample`` rows
-        texts = voted_text.join(chosen, "tie", "left_semi").select(*voted_text.columns)
+        texts = voted_text.join(chosen, "tie", "left_semi").select(*voted_text.columns).dropDuplicates(["tie"])  # rows that repeat are one
         own = texts.mapInArrow(_sample_features, "tie long, quality int, toxic int, columns array<int>, values array<float>").toArrow().sort_by("tie")
         if not own.num_rows:
             models[task] = (label, np.zeros(DIMENSIONS), -30.0)

@@ -341,6 +341,16 @@ def test_op9_learns_from_1500_documents_a_class(spark, monkeypatch):
     assert seen[2:] == [1500, 1500]  # of the second task, toxic
 
 
+def test_op9_repeated_rows_are_one_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(weak_labels, "train", lambda c, v, o, labels, weights: (seen.append(sorted(labels >= 0.5)), np.zeros(weak_labels.DIMENSIONS), 0.0)[1:])
+    bad = [(7, "this idiot is stupid and this is the trash of it")] * 300 + [(None, "that idiot is stupid and this is the trash of it")] * 300 + [(i, f"this idiot number {i} is stupid and this is the trash of it") for i in range(10, 20)]
+    good = [(i, f"this is number {i} of the things that are good for it") for i in range(100, 130)]
+    found = weak_labels.classify(spark.createDataFrame(bad + good, "doc_id long, text string").repartition(5), sample=20)
+    assert seen[1] == [False] * 20 + [True] * 12  # of the second task, toxic
+    assert found.count() == 640
+
+
 def test_op9_accuracies_of_simulated_labellers():
     rng = np.random.default_rng(9)
     bad = rng.random(20_000) < 0.1
