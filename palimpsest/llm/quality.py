@@ -10,8 +10,9 @@ distance passes ``cutoff``. All sums, quantiles and moments are Spark
 aggregates with map-side combining, so a group may hold any share of the rows.
 
 Null lang or source is a group like any other. Groups of fewer than
-``min_group`` documents are judged by their language's pooled estimate, and a
-language of fewer by none. A null or empty text has no words and fails the
+``min_group`` documents are judged by an estimate over all documents of their
+language, large groups' too, those of a language of fewer by one over all documents, and
+an input of fewer by none. A null or empty text has no words and fails the
 base rules. Repeated rows are judged each, other columns are carried along.
 """
 
@@ -42,6 +43,8 @@ STATS = (
     ("upper", lambda c: F.sqrt(c("n_upper") / (c("word_chars") + 50.0)), 0.05),
     ("marks", lambda c: F.sqrt((c("n_marks") + c("n_digits")) / (c("n_words") + 20.0)), 0.20),
 )
+#: The group of all documents; no language's name with the ending below is the same.
+ALL = "\x1e"
 DIM = len(STATS)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 
@@ -183,17 +186,23 @@ def quality(
     own = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
     pool = F.concat_ws("\x1e", F.coalesce("lang", F.lit("\x00")), F.lit("all"))
     judged = rows.where(~F.col("base_failed"))
-    sizes = judged.groupBy(own.alias("own"), pool.alias("pool")).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("g", F.when(F.col("n") >= min_group, F.col("own")).otherwise(F.col("pool")))
-    pooled = sizes.where("g = pool").groupBy("pool").agg(F.sum("n").alias("small"))
-    named = stored(
-        sizes.join(pooled, "pool", "left").select(F.col("own").alias("g"), F.when((F.col("g") == F.col("own")) | (F.col("small") >= min_group), F.col("g")).alias("to")),
-        "groups",
+    sizes = stored(judged.groupBy(own.alias("own"), pool.alias("pool")).agg(F.count("*").alias("n")), "sizes")
+    of_pool = sizes.groupBy("pool").agg(F.sum("n").alias("pool_n"))
+    of_all = F.broadcast(sizes.agg(F.sum("n").alias("all_n")))
+    level = F.when(F.col("n") >= min_group, F.col("own")).when(F.col("pool_n") >= min_group, F.col("pool")).when(F.col("all_n") >= min_group, F.lit(ALL))
+    named = stored(sizes.join(of_pool, "pool").crossJoin(of_all).select(F.col("own").alias("g"), "pool", level.alias("to")), "groups")
+    # A row counts for its own group if that is large, and for its language and for all where some group is judged by them.
+    pools = named.where("to = pool").select("pool").distinct().withColumn("pooled", F.lit(True))
+    for_all = F.lit(bool(named.where(F.col("to") == ALL).limit(1).count()))
+    lists = named.join(pools, "pool", "left").select(
+        "g", F.array_compact(F.array(F.when(F.col("to") == F.col("g"), F.col("g")), F.when(F.col("pooled"), F.col("pool")), F.when(for_all, F.lit(ALL)))).alias("tos")
     )
+    named = named.drop("pool")
     x = [f"x{i}" for i in range(DIM)]
     numbers = judged.select("doc_id", "n_words", "word_chars", own.alias("g"), *x)
     n_named = named.count()
-    grouped = stored(_joined(numbers, named, max_groups, n_named).where(F.col("to").isNotNull()).drop("g").withColumnRenamed("to", "g"), "vectors")
+    lists = stored(lists, "lists")
+    grouped = stored(_joined(numbers, lists, max_groups, n_named).withColumn("g", F.explode("tos")).drop("tos"), "vectors")
     found, _ = estimates(grouped, support, steps, max_groups)
     by_own = stored(named.join(found.withColumnRenamed("g", "to"), "to").drop("to"), "estimates")
 

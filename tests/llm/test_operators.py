@@ -207,6 +207,18 @@ def test_op6_finds_planted_outliers_and_keeps_the_rest(spark):
     assert found.where("doc_id >= 5000 and kept").count() == 0
 
 
+def test_op6_judges_small_sources_and_rare_languages(spark):
+    random.seed(16)
+    words = ["".join(random.choice("etaoinshr") for _ in range(random.randrange(2, 9))) for _ in range(2000)]
+    kinds = [("en", "large")] * 600 + [("de", "large")] * 300 + [("en", "tail")] * 9 + [("rare", "s")] * 20 + [("", "s")] * 9
+    clean = [(i, " ".join(random.choices(words, k=random.randrange(30, 200))) + ".", *kind) for i, kind in enumerate(kinds)]
+    bad = [(5000 + i, " ".join(w + random.choice(["***", "$$$"]) for w in random.choices(words, k=60)), *kind) for i, kind in enumerate([("en", "tail"), ("rare", "s"), ("", "s"), ("de", "new")])]
+    found = quality.quality(spark.createDataFrame(clean + bad, "doc_id long, text string, lang string, source string"))
+    assert found.count() == len(clean) + len(bad) and found.where("not base_failed and distance is null").count() == 0
+    assert found.where("doc_id < 5000 and not kept").count() == 0
+    assert found.where("doc_id >= 5000 and kept").count() == 0
+
+
 def least_cost(roles):
     @functools.cache
     def go(i, state):
