@@ -30,16 +30,22 @@ def tokenizer_path(name: str) -> str:
 
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
-    """For sessions that name no folder, as in local tests."""
+    """For local sessions that name no folder, as in tests."""
     return tempfile.mkdtemp(prefix="palimpsest-")
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the session names none (a local test), a temporary folder takes its place.
+    Where a local session names none, a temporary folder takes its place; on
+    a cluster, whose machines don't share one, that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir()
     return f"{base.rstrip('/')}/palimpsest/{what}-{uuid.uuid4().hex}"
 
 
@@ -47,17 +53,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
     path = shared_dir(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a ``stored`` DataFrame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/palimpsest/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Delete the files behind ``stored`` DataFrames that nothing reads any more."""
+    for df in tables:
+        if folder := getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(docs: DataFrame) -> DataFrame:

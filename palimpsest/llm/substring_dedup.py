@@ -7,10 +7,9 @@ context, and a hash of the bytes from the minimizer on that lie in all strings
 with it is its core. Only records whose core occurs twice can hold a repeat.
 Of these, equal contexts repeat as a whole. What is left are contexts of one
 core that differ, as at the edges of a shared passage: they go to a task by
-their core, whose suffix array is built over them by linear grouping. Its order
-of the suffixes at the minimizers and their common prefixes tell which strings
-agree to the right of it, and hashes of the bytes before it which agree to the
-left.
+their core, which cuts them into phrases by content, builds the suffix array of
+the phrases by linear grouping, and reads from its intervals of common prefixes
+which strings occur twice (see ``repeats``).
 
 A core with over ``max_group`` different contexts is not gathered: its records
 are split by the distance from string to minimizer, which makes the cores
@@ -33,31 +32,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import drop_stored, slices, stored
-from palimpsest.llm.suffix import Sums, minimizers, suffix_array
+from palimpsest.llm.suffix import GRAM, Sums, minimizers, suffix_array
 from palimpsest.llm.textbytes import BASE, U, byte_values, column_bytes, mix
 
-WINDOW = 256  # places for a minimizer: distances from string to minimizer are less
-SYMBOL = 32  # bytes
+TRIGGER = 8  # bytes that decide whether a phrase begins with them; one in 16 does
 RECORD = "rid long, did long, at long, lo long, hi long, core long, c1 long, c2 long"
 CONTEXT = "rid long, did long, at long, lo long, hi long, core long, c1 long, c2 long, weight int, bytes binary"
 SPAN = "rid long, did long, s long, e long"
 STEP = 4  # by which ranges of distances shrink when a core's records are split
 
 
+def window_of(length: int) -> int:
+    """Places for a minimizer in a string of ``length`` bytes: distances from string to minimizer are less."""
+    if length < 2 * GRAM:
+        raise ValueError(f"strings are at least {2 * GRAM} bytes long")
+    return 1 << (length * 13 // 20).bit_length() - 1
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _records(length: int):
+    window = window_of(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2_000_000):
             data, offsets = column_bytes(part.column("text"))
             one = Sums(data, 11)
-            text, at, lo, hi = minimizers(data, offsets, length, WINDOW, one)
-            core = one.hash(at, at + length - WINDOW + 1)
+            text, at, lo, hi = minimizers(data, offsets, length, window, one)
+            core = one.hash(at, at + length - window + 1)
             c1 = one.hash(lo, hi + length)
             del one
-            span = mix((at - lo).astype(np.uint64) * U(WINDOW) + (at - hi).astype(np.uint64))
+            span = mix((at - lo).astype(np.uint64) * U(window) + (at - hi).astype(np.uint64))
             c2 = Sums(data, 12).hash(lo, hi + length) ^ span
             rows, base = pa.array(text), offsets[text]
             yield pa.RecordBatch.from_pydict(
@@ -81,53 +88,98 @@ def _contexts(length: int):
     return run
 
 
-def repeats(table: dict[str, np.ndarray], contexts: list[bytes], length: int) -> np.ndarray:
-    """Whether the string at each distance (column) from the minimizer of each context (row) repeats.
-
-    ``table`` has at, lo, hi and weight of each context; one that stands for
-    several equal ones has a weight of 2. Contexts of different cores may be
-    mixed: their bytes tell them apart.
+def phrases(data: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places where phrases begin: which they are, the ``TRIGGER`` bytes there tell, if they lie in one context."""
+    n = len(data) - TRIGGER + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    gram = np.zeros(n, np.uint64)
+    for k in range(TRIGGER):
+        gram = gram << U(8) | data[k : n + k]
+    at = np.flatnonzero(mix(gram) >> U(60) == 0)
+    return at[at + TRIGGER <= ends[of[at]]]
+
+
+def repeats(spans: np.ndarray, weight: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
+    """Whether the string at each start (column) of each context (row) occurs twice among them.
+
+    Context i has strings at its first ``spans[i]`` bytes; one that stands for
+    several equal ones has a weight of 2. The contexts are cut into phrases
+    that depend on their bytes alone, each ending with the bytes that begin
+    the next: none is a prefix of another, so phrases in the order of their
+    bytes are symbols whose suffix array is that of the bytes at all phrases'
+    starts. Strings are equal if they have the same bytes before their first
+    phrase, and lie in one interval of the array whose common prefixes cover
+    the rest.
     """
     n = len(contexts)
-    far, near = table["at"] - table["lo"], table["at"] - table["hi"]  # distances of the first and the last string
-    right = np.zeros((n, -(-length // SYMBOL) * SYMBOL), np.uint8)
-    left = np.zeros((n, WINDOW), np.uint8)
-    for i, c in enumerate(contexts):
-        b = np.frombuffer(c, np.uint8)
-        # A string that ends before the minimizer's last byte can't be; the context may end short of it.
-        right[i, : len(b) - far[i]] = b[far[i] :]
-        left[i, : far[i]] = b[: far[i]][::-1]
-    # Symbols: blocks of the right side, ranked as bytes; 0 ends a context.
-    blocks = right.reshape(n, -1, SYMBOL)
-    words = np.ascontiguousarray(blocks).view(">u8").astype(np.uint64).reshape(-1, SYMBOL // 8)
-    order = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
-    rank = np.empty(len(words), np.int64)
-    rank[order] = 1 + np.cumsum(np.r_[False, (words[order][1:] != words[order][:-1]).any(axis=1)])
-    per = blocks.shape[1]
-    symbols = np.zeros((n, per + 1), np.int64)
-    symbols[:, :per] = rank.reshape(n, per)
-    suffixes = np.array(suffix_array(symbols.ravel().tolist()), np.int64)
-    order = suffixes[suffixes % (per + 1) == 0] // (per + 1)
-    right, left, far, near, weight = right[order], left[order], far[order], near[order], table["weight"][order]
-    differs = right[1:] != right[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), right.shape[1])
-    found = np.zeros((n, WINDOW), bool)
-    values, before = byte_values(13), np.zeros(n, np.uint64)
-    for d in range(int(far.max()) + 1):
-        if d:
-            before = before * BASE + values[left[:, d - 1]]
-        valid = np.flatnonzero((near <= d) & (d <= far))
-        if len(valid) > 1:
-            run = np.r_[0, np.cumsum(common < length - d)][valid].astype(np.uint64)
-            key = mix(before[valid] ^ mix(run + U(1)))
-            by = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
-            total = np.add.reduceat(weight[valid][by], first)
-            again = np.repeat(total >= 2, np.diff(np.r_[first, len(by)]))
-            found[valid[by[again]], d] = True
-    out = np.empty_like(found)
-    out[order] = found
-    return out
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    of = np.repeat(np.arange(n), sizes)
+    at = phrases(data, ends, of)
+    own = of[at]
+    last = np.r_[own[1:] != own[:-1], True][: len(at)]
+    stops = np.where(last, ends[own], np.r_[at[1:] + TRIGGER, 0][: len(at)])
+    whole = data.tobytes()
+    cut = [whole[a:b] for a, b in zip(at.tolist(), stops.tolist(), strict=True)]
+    rank = {p: k for k, p in enumerate(sorted(set(cut)), 1)}
+    symbols = np.zeros(len(at) + n, np.int64)  # 0 ends a context
+    place = np.arange(len(at)) + own
+    symbols[place] = [rank[p] for p in cut]
+    row_of = np.full(len(symbols), -1, np.int64)
+    row_of[place] = np.arange(len(at))
+    order = row_of[np.array(suffix_array(symbols.tolist()), np.int64)]
+    order = order[order >= 0]
+    gap = np.where(np.r_[True, own[1:] != own[:-1]][: len(at)], at - begins[own] + 1, at - np.r_[0, at[:-1]][: len(at)])[order]
+    at, own = at[order], own[order]
+    common = _common(data, at, ends[own], length)
+
+    found, seen = np.zeros((n, int(spans.max())), bool), np.zeros((n, int(spans.max())), bool)
+    values, before = byte_values(13), np.zeros(len(at), np.uint64)
+    live = np.arange(len(at))
+    for r in range(length - TRIGGER + 1):
+        live = live[gap[live] > r]
+        if not len(live):
+            break
+        if r:
+            before[live] = before[live] * BASE + values[data[at[live] - r]]
+        start = at[live] - r - begins[own[live]]
+        inside = start < spans[own[live]]
+        row, start = live[inside], start[inside]
+        seen[own[row], start] = True
+        if len(row) > 1:
+            interval = np.r_[0, np.cumsum(common < length - r)][row].astype(np.uint64)
+            again = _twice(mix(before[row] ^ mix(interval + U(1))), weight[own[row]])
+            found[own[row[again]], start[again]] = True
+    # Strings without a phrase's start, as in runs of one character.
+    c, start = np.nonzero(~seen & (np.arange(seen.shape[1]) < spans[:, None]))
+    if len(c) > 1:
+        again = _twice(Sums(data, 14).hash(begins[c] + start, begins[c] + start + length), weight[c])
+        found[c[again], start[again]] = True
+    return found
+
+
+def _common(data: np.ndarray, at: np.ndarray, ends: np.ndarray, most: int, step: int = 4096) -> np.ndarray:
+    """Bytes, up to ``most``, that each place and the next one have in common before a context's end."""
+    padded = np.r_[data, np.zeros(most, np.uint8)]
+    rows = np.lib.stride_tricks.sliding_window_view(padded, most)
+    out = np.empty(max(len(at) - 1, 0), np.int64)
+    for k in range(0, len(out), step):
+        differ = rows[at[k : k + step + 1]]
+        differ = differ[1:] != differ[:-1]
+        out[k : k + step] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    room = ends - at
+    return np.minimum(out, np.minimum(room[1:], room[:-1])) if len(out) else out
+
+
+def _twice(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of the rows whose key has a total weight of 2 or more."""
+    by = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+    total = np.add.reduceat(weight[by], first)
+    return by[np.repeat(total >= 2, np.diff(np.r_[first, len(by)]))]
 
 
 def _bundles(length: int, bundle: int):
@@ -142,12 +194,12 @@ def _bundles(length: int, bundle: int):
         rows = np.flatnonzero(~same)
         t = {c: v[rows] for c, v in t.items()}
         contexts = table.column("bytes").take(pa.array(rows)).to_pylist()
-        found = repeats(t, contexts, length) & (t["weight"] < 2)[:, None]
+        found = repeats(t["hi"] - t["lo"] + 1, t["weight"], contexts, length) & (t["weight"] < 2)[:, None]
         edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        i, near = np.nonzero(edge == 1)
+        i, first = np.nonzero(edge == 1)
         _, past = np.nonzero(edge == -1)
-        at = t["at"][i]
-        return pa.RecordBatch.from_pydict({"rid": pa.array(t["rid"][i]), "did": pa.array(t["did"][i]), "s": pa.array(at - past + 1), "e": pa.array(at - near + length)})
+        lo = t["lo"][i]
+        return pa.RecordBatch.from_pydict({"rid": pa.array(t["rid"][i]), "did": pa.array(t["did"][i]), "s": pa.array(lo + first), "e": pa.array(lo + past - 1 + length)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -191,7 +243,7 @@ def _split(length: int, size: int):
             core_start, core_end = base + t["at"][row] - k * size, base + t["at"][row] + length - (k * size + size - 1)
             core = one.hash(core_start, core_end) ^ mix(k.astype(np.uint64) + U(size) * U(1000003))
             c1 = one.hash(base + lo, base + hi + length)
-            c2 = Sums(data, 12).hash(base + lo, base + hi + length) ^ mix(most.astype(np.uint64) * U(WINDOW) + least.astype(np.uint64))
+            c2 = Sums(data, 12).hash(base + lo, base + hi + length) ^ mix(most.astype(np.uint64) * U(window_of(length)) + least.astype(np.uint64))
             whole = data.tobytes()
             rows = pa.array(row)
             yield pa.RecordBatch.from_pydict(
@@ -206,7 +258,7 @@ def _split(length: int, size: int):
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 16_000_000):
-            sizes, removed, counts, kept = [], [], [], []
+            sizes, removed, counts, kept, texts = [], [], [], [], []
             for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                 data = (text or "").encode()
                 pieces, at, runs = [], 0, 0
@@ -223,84 +275,97 @@ def _removed(length: int):
                 removed.append(len(data) - len(left))
                 counts.append(runs)
                 kept.append(left)
+                texts.append(None if text is None else left.decode(errors="ignore"))
             yield pa.RecordBatch.from_pydict(
                 {"row": part.column("row"), "doc_id": part.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
-                | {"n_spans": pa.array(counts, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_text": pa.array([k.decode(errors="ignore") for k in kept])}
+                | {"n_spans": pa.array(counts, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(texts, pa.string())}
             )
 
     return run
 
 
 def _repeated(rows: DataFrame, weight) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of records with core, c1, c2: their distinct contexts with a count, those of them whose core has others, and each core's number."""
+    """Of records with core, c1, c2: the distinct contexts that occur twice, those whose core has others, and all of them, stored."""
     firsts = [F.first(c).alias(c) for c in rows.columns if c not in {"c1", "c2", "weight"}]
     contexts = stored(rows.groupBy("c1", "c2").agg(F.sum(weight).alias("times"), *firsts), "contexts")
-    mixed = stored(contexts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
-    wanted = contexts.join(mixed, "core").withColumn("weight", F.least("times", F.lit(2)).cast("int"))
-    return contexts, wanted, mixed
+    mixed = contexts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    wanted = contexts.join(mixed.hint("merge"), "core").withColumn("weight", F.least("times", F.lit(2)).cast("int"))
+    return contexts.where("times > 1").select("c1", "c2"), wanted, contexts
 
 
 def repeated_spans(texts: DataFrame, length: int, max_group: int, bundle: int) -> DataFrame:
-    """rid, did, s, e: spans of the texts (rid, did, text) that repeated strings cover; they may overlap."""
+    """rid, did, s, e: spans of the texts (rid, did, text) that repeated strings cover; they may overlap.
+
+    Joins of what grows with the input are sort-merge joins at every size, so
+    that Spark may split common keys, and costs grow as the input does.
+    """
     records = stored(texts.where(F.octet_length("text") >= length).mapInArrow(_records(length), RECORD), "records")
-    # Stored, so that Spark may split the records of a common core when it joins the two.
     cores = stored(records.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
-    twice = stored(records.join(cores, "core", "left_semi"), "twice")
-    drop_stored(records)
-    contexts, wanted, _ = _repeated(twice, F.lit(1))
-    again = contexts.where("times > 1").select("c1", "c2")
-    spans = [stored(twice.join(again, ["c1", "c2"], "left_semi").select("rid", "did", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")), "spans")]
+    twice = stored(records.join(cores.hint("merge"), "core", "left_semi"), "twice")
+    drop_stored(records, cores)
+    again, wanted, contexts = _repeated(twice, F.lit(1))
+    spans = [stored(twice.join(again.hint("merge"), ["c1", "c2"], "left_semi").select("rid", "did", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")), "spans")]
+    drop_stored(twice)
 
     fields = F.struct("at", "lo", "hi", "core", "c1", "c2", "weight", "kinds")
     of_text = stored(wanted.groupBy("rid", "did").agg(F.collect_list(fields).alias("wanted")), "wanted")
-    with_text = texts.join(of_text, ["rid", "did"])
-    cut = with_text.select("rid", "did", "text", F.transform("wanted", lambda w: w.dropFields("kinds")).alias("wanted")).mapInArrow(_contexts(length), CONTEXT)
     kinds = stored(wanted.where(F.col("kinds") > max_group).select("core").distinct(), "large")
+    drop_stored(contexts)
+    # A context is cut from one text that has it: repeated rows give it more than once, and one is taken.
+    with_text = texts.join(of_text.hint("merge"), ["rid", "did"])
+    cut = with_text.select("rid", "did", "text", F.transform("wanted", lambda w: w.dropFields("kinds")).alias("wanted")).mapInArrow(_contexts(length), CONTEXT)
     pieces = stored(cut, "pieces")
-    drop_stored(twice)
+    drop_stored(of_text)
 
-    size = WINDOW
+    size = window_of(length)
     while True:
-        small, large = pieces, None
+        large, done = None, [pieces, kinds]
+        small = pieces
         if kinds.limit(1).count():
-            small = pieces.join(kinds, "core", "left_anti").select(*pieces.columns)
-            large = pieces.join(kinds, "core", "left_semi").select(*pieces.columns)
-        spans.append(small.repartition("core").sortWithinPartitions("core", "c1", "c2").mapInArrow(_bundles(length, bundle), SPAN))
+            small = pieces.join(kinds.hint("merge"), "core", "left_anti").select(*pieces.columns)
+            large = pieces.join(kinds.hint("merge"), "core", "left_semi").select(*pieces.columns)
+        spans.append(stored(small.repartition("core").sortWithinPartitions("core", "c1", "c2").mapInArrow(_bundles(length, bundle), SPAN), "spans"))
         if large is None:
+            drop_stored(*done)
             break
         size //= STEP
         rows = stored(large.dropDuplicates(["core", "c1", "c2"]).mapInArrow(_split(length, size), CONTEXT), "split")
-        contexts, wanted, _ = _repeated(rows.drop("bytes"), F.col("weight"))
-        again = contexts.where("times > 1").select("c1", "c2")
-        spans.append(rows.where("weight = 1").join(again, ["c1", "c2"], "left_semi").select("rid", "did", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")))
+        drop_stored(*done)
+        again, wanted, contexts = _repeated(rows.drop("bytes"), F.col("weight"))
+        spans.append(stored(rows.where("weight = 1").join(again.hint("merge"), ["c1", "c2"], "left_semi").select("rid", "did", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")), "spans"))
         wanted = stored(wanted.select("rid", "did", "at", "lo", "hi", "core", "c1", "c2", "weight", "kinds"), "wanted")
         kinds = stored(wanted.where(F.col("kinds") > max_group).select("core").distinct(), "large")
         keys = ["rid", "did", "at", "lo", "hi", "core", "c1", "c2"]
-        pieces = stored(wanted.drop("kinds").join(rows.select(*keys, "bytes"), keys).select(*rows.columns), "pieces")
+        pieces = stored(wanted.drop("kinds").join(rows.select(*keys, "bytes").hint("merge"), keys).select(*rows.columns), "pieces")
+        drop_stored(rows, contexts, wanted)
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
-    return out
+    of_text = stored(out.groupBy("rid", "did").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    drop_stored(*spans)
+    return of_text
 
 
 def without_repeats(docs: DataFrame, length: int = 400, carry: bool = False, max_group: int = 512, bundle: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) and kept_text of every row of ``docs``.
 
-    ``kept_text`` leaves out what a cut has left of a character. With
-    ``carry``, the rows' own columns come as the struct ``row``.
+    ``kept_text`` leaves out what a cut has left of a character; of a null
+    text it is null, while ``kept`` is empty. With ``carry``, the rows' own
+    columns but text come as the struct ``row``.
     """
-    row = F.struct(*(docs[c] for c in docs.columns if c != "text")) if carry else F.struct(F.lit(1).alias("none"))
-    base = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    row = F.struct(*(docs[c] for c in docs.columns if c != "text"), F.lit(1).alias("_palimpsest_row")) if carry else F.struct(F.lit(1).alias("none"))
+    base = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("did", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    spans = repeated_spans(base.select("rid", "did", "text"), length, max_group, bundle)
-    of_text = stored(spans.groupBy("rid", "did").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+    of_text = repeated_spans(base.select("rid", "did", "text"), length, max_group, bundle)
     kinds = f"row {base.schema['row'].dataType.simpleString()}, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
-    out = base.join(of_text, ["rid", "did"], "left").select("row", "doc_id", "text", "spans").mapInArrow(_removed(length), kinds)
+    out = base.join(of_text.hint("merge"), ["rid", "did"], "left").select("row", "doc_id", "text", "spans").mapInArrow(_removed(length), kinds)
     return out if carry else out.drop("row")
 
 
 def keep_rest(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the repeated strings cut out of text, and n_chars, if it is there, counted anew."""
+    """``docs`` with the repeated strings cut out of text, and n_chars, if it is there, counted anew; a null text stays null."""
     found = without_repeats(docs, carry=True, **options)
-    columns = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    columns = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.coalesce(F.char_length("kept_text").cast("long"), F.col("row").getField("n_chars").cast("long"))
     return found.select(*(columns[c].alias(c) if c in columns else F.col("row").getField(c).alias(c) for c in docs.columns))
