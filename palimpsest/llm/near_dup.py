@@ -17,7 +17,7 @@ all of the bucket: as pairs where the bucket is small, else in blocks of
 ``block`` by ``block`` members that a task compares and of which it returns
 links alone. Nothing is capped, and no group is gathered in one task.
 
-A document without words has an empty set and is linked with nothing. Null
+A document without words has an empty set and is linked with nothing. A null
 text is empty. Rows that repeat a doc_id are judged each; a null doc_id is
 never a component's name while another id is there. Other columns are ignored.
 """
@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import documents, slices, stored
+from palimpsest.llm.common import documents, drop_stored, slices, stored
 from palimpsest.llm.textbytes import BASE, byte_values, find_words, lowered, mix, space_class, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     return keys
 
 
-DIGESTS = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
+DIGESTS = "doc_id long, row_key long, n_shingles long, h1 long, h2 long, keys array<long>"
 SETS = "h1 long, h2 long, n long, shingles binary"
 NONE = (None, None)
 
@@ -122,6 +122,7 @@ def _digests(coordinates: int, bands: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
+                    "row_key": part.column("row_key"),
                     "n_shingles": pa.array(np.diff(offsets), pa.int64()),
                     "h1": pa.array([a for a, _ in names], pa.int64()),
                     "h2": pa.array([b for _, b in names], pa.int64()),
@@ -177,14 +178,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "roots")
     while True:
-        near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "node", "left")
+        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = roots.select("node", "root").join(near, "node", "left")
         hooks = step.where("near < root").groupBy("root").agg(F.min("near").alias("hook"))
         step = step.join(hooks, "root", "left").select("node", F.col("root").alias("old"), F.least("root", "near", "hook").alias("root"))
         jumps = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
         after = stored(step.join(jumps, "root", "left").select("node", "old", F.least("root", "up").alias("root")), "roots")
-        roots = after.select("node", "root")
-        if not after.where("old <> root").limit(1).count():
+        drop_stored(roots)
+        done = not after.where("old <> root").limit(1).count()
+        roots = after
+        if done:
+            drop_stored(both)
             return roots
 
 
@@ -198,7 +202,7 @@ def _open(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         members = shared.withColumn("root", F.col("node"))
     else:
-        members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = shared.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     return members.join(mixed.select("key", "size"), "key")
 
@@ -265,31 +269,33 @@ def _large_rest(members: DataFrame, sets: DataFrame, keyed: DataFrame, percent:
     return both.groupBy("key", "i", "j").applyInArrow(_block_links(percent, bands), "a long, b long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 75, coordinates: int = 128, bands: int = 32, steps: tuple[int, ...] = (8, 32), small: int = 48, block: int = 400, max_broadcast: int = 500_000
-) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``.
+def verdicts(docs: DataFrame, percent: int, coordinates: int, bands: int, steps: tuple[int, ...], small: int, block: int, max_broadcast: int) -> DataFrame:
+    """doc_id, row_key, n_shingles, component_id and first (whether the row has its component's least doc_id and key), stored.
 
-    Documents are linked if 100 * intersection >= ``percent`` * union. A pair
-    of similarity 0.75 shares none of 32 bands of 4 with probability 6e-6.
-    ``max_broadcast`` bounds the ids that are broadcast to select texts.
+    ``row_key`` is a hash of doc_id and text. A row without shingles is a
+    component by itself. What is stored on the way is deleted.
     """
-    texts = documents(docs)
-    rows = stored(texts.mapInArrow(_digests(coordinates, bands), DIGESTS), "digests")
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        made.append(stored(df, what))
+        return made[-1]
+
+    texts = documents(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = keep(texts.mapInArrow(_digests(coordinates, bands), DIGESTS), "digests")
     by_set = rows.where("h1 is not null").groupBy("h1", "h2")
-    classes = by_set.agg(F.min("doc_id").alias("least"), F.min_by("keys", "n_shingles").alias("keys"), F.count("doc_id").alias("named"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    first_row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    classes = by_set.agg(F.min(first_row).alias("least"), F.min_by("keys", "n_shingles").alias("keys"))
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("node", "keys")
 
     members = keyed.select("node", F.posexplode("keys").alias("band", "key"))
     often = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    shared = stored(members.join(often, "key").select("node", "band", "key"), "shared")
-    wanted = stored(shared.select("node").distinct().join(classes.select("node", "h1", "h2", "least"), "node"), "wanted")
-    named = texts.join(few(wanted.select(F.col("least").alias("doc_id")).distinct(), max_broadcast), "doc_id", "left_semi")
-    unnamed = texts.where("doc_id is null")  # classes of nothing but null ids are found by their text
-    sets = named.unionByName(unnamed).mapInArrow(_sets, SETS)
+    shared = keep(members.join(often.hint("merge"), "key").select("node", "band", "key"), "shared")
+    wanted = keep(shared.select("node").distinct().join(classes.select("node", "h1", "h2", "least"), "node"), "wanted")
+    sets = texts.join(few(wanted.select("least.row_key").distinct(), max_broadcast), "row_key", "left_semi").mapInArrow(_sets, SETS)
     sets = sets.join(wanted.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "n", "shingles").dropDuplicates(["node"])
-    sets = stored(sets, "sets")
+    sets = keep(sets, "sets")
 
     roots, links, seen, taken = None, None, None, 0
     for upto in steps:
@@ -297,38 +303,63 @@ def near_duplicates(
         pairs = _star(open_members)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        found = stored(verified(pairs, sets, percent), "verified")
+        found = keep(verified(pairs, sets, percent), "verified")
+        drop_stored(open_members, roots)
         links = found.where("linked").select("a", "b") if links is None else links.union(found.where("linked").select("a", "b"))
         seen = found.select("a", "b") if seen is None else seen.union(found.select("a", "b"))
         roots, taken = components(links), upto
-    open_members = stored(_open(shared, roots), "open")
+    open_members = keep(_open(shared, roots), "open")
     few_left = verified(_small_rest(open_members, small).join(seen, ["a", "b"], "left_anti"), sets, percent).where("linked").select("a", "b")
     many_left = _large_rest(open_members, sets, keyed, percent, bands, small, block)
-    last = stored(few_left.union(many_left), "links")
+    last = keep(few_left.union(many_left), "links")
     if last.limit(1).count():
+        drop_stored(roots)
         roots = components(links.union(last))
+    made.append(roots)
+
+    labels = keep(classes.select("node", "h1", "h2", "least").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "labels")
+    names = labels.groupBy("root").agg(F.min("least").alias("name"))
+    of_class = labels.select("h1", "h2", "root").join(names, "root").select("h1", "h2", "name")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    found = rows.select("doc_id", "row_key", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left").withColumn("name", F.coalesce("name", own))
+    component_id = F.coalesce("name.doc_id", "doc_id")
+    first = F.col("row_key") == F.col("name.row_key")
+    out = stored(found.select("doc_id", "row_key", "n_shingles", component_id.alias("component_id"), first.alias("first")), "verdicts")
+    drop_stored(*made)
+    return out
+
 
-    labels = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = labels.select("h1", "h2", "root").join(names, "root").select("h1", "h2", "component_id")
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+def near_duplicates(
+    docs: DataFrame, percent: int = 75, coordinates: int = 128, bands: int = 32, steps: tuple[int, ...] = (8, 32), small: int = 48, block: int = 400, max_broadcast: int = 500_000
+) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``.
+
+    Documents are linked if 100 * intersection >= ``percent`` * union. A pair
+    of similarity 0.75 shares none of 32 bands of 4 with probability 6e-6.
+    ``max_broadcast`` bounds the keys that are broadcast to select texts.
+    """
+    found = verdicts(docs, percent, coordinates, bands, steps, small, block, max_broadcast)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one_each(docs: DataFrame, max_broadcast: int = 500_000, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, with their columns and no others.
+def keep_one_each(
+    docs: DataFrame, percent: int = 75, coordinates: int = 128, bands: int = 32, steps: tuple[int, ...] = (8, 32), small: int = 48, block: int = 400, max_broadcast: int = 500_000
+) -> DataFrame:
+    """One row of each component of ``docs``, with its columns and no others.
 
-    Rows with a null doc_id stay. Of rows that repeat a kept doc_id one stays,
-    the one of the least hash over its columns.
+    It is the row of the least doc_id (null after all others) and, of rows
+    that repeat it, of the least hash of its text; of rows that are equal in
+    both, that of the least hash over all columns. Rows without words stay, but
+    for those that repeat a doc_id and its text.
     """
-    verdicts = stored(near_duplicates(docs, max_broadcast=max_broadcast, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")), "verdicts")
-    id_of = docs["doc_id"].cast("long")
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_palimpsest_id"))
-    left = docs.join(few(gone, max_broadcast), id_of == F.col("_palimpsest_id"), "left_anti")
-    repeated = verdicts.where("kept and times > 1").select(F.col("doc_id").alias("_palimpsest_id"))
+    found = verdicts(docs, percent, coordinates, bands, steps, small, block, max_broadcast)
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    gone = found.where("not first").select(F.col("row_key").alias("_palimpsest_key")).distinct()
+    left = docs.join(few(gone, max_broadcast), key == F.col("_palimpsest_key"), "left_anti")
+    times = found.where("first and (n_shingles > 0 or doc_id is not null)").groupBy("row_key").count().where("count > 1")
+    repeated = stored(times.select(F.col("row_key").alias("_palimpsest_key")), "repeated")
     if not repeated.limit(1).count():
         return left
-    again = left.join(few(repeated, max_broadcast), id_of == F.col("_palimpsest_id"), "left_semi")
-    order = F.row_number().over(Window.partitionBy("_palimpsest_id").orderBy(F.xxhash64(*docs.columns)))
-    one = again.withColumn("_palimpsest_id", F.col("doc_id").cast("long")).withColumn("_palimpsest_n", order).where("_palimpsest_n = 1").drop("_palimpsest_id", "_palimpsest_n")
-    return left.join(few(repeated, max_broadcast), id_of == F.col("_palimpsest_id"), "left_anti").unionByName(one)
+    again = left.join(few(repeated, max_broadcast), key == F.col("_palimpsest_key"))
+    one = again.groupBy("_palimpsest_key").agg(F.min_by(F.struct(*(docs[c] for c in docs.columns)), F.xxhash64(*docs.columns)).alias("_palimpsest_row"))
+    return left.join(few(repeated, max_broadcast), key == F.col("_palimpsest_key"), "left_anti").unionByName(one.select("_palimpsest_row.*"))
