@@ -26,9 +26,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_each(docs)
 
 
+#: Passages of over 50 words are to go: of 51 words in a row 99 % have this many bytes or more.
+PASSAGE_BYTES = 250
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur elsewhere as well."""
-    return keep_rest(docs)
+    """Documents without the strings of ``PASSAGE_BYTES`` bytes that occur elsewhere as well."""
+    return keep_rest(docs, length=PASSAGE_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
