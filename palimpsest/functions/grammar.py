@@ -21,12 +21,12 @@ def valid_path(path: Column) -> Column:
 
 def valid_ref(name: Column) -> Column:
     """Branches and tags: letters, digits and ._/- after a letter or digit, at most 128, no .., //, final / or .lock."""
-    return _sure(name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]{0,127}$") & ~name.rlike(r"\.\.|//|/$|\.lock$|/[.-]|\.lock/"))
+    return _sure(name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]{0,127}\z") & ~name.rlike(r"\.\.|//|/\z|\.lock\z"))
 
 
 def valid_object_name(name: Column) -> Column:
     """At most 8 segments of 1 to 128 of [a-z0-9._-], none beginning with a dot, at most 512 characters."""
-    return _sure(name.rlike(r"^[a-z0-9_-][a-z0-9._-]{0,127}(/[a-z0-9_-][a-z0-9._-]{0,127}){0,7}$") & (F.octet_length(name) <= 512))
+    return _sure(name.rlike(r"^[a-z0-9_-][a-z0-9._-]{0,127}(/[a-z0-9_-][a-z0-9._-]{0,127}){0,7}\z") & (F.octet_length(name) <= 512))
 
 
 def valid_principal(name: Column) -> Column:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEPARATOR, NULL = "\x1f", "\x00"
-
 
 def content_hash(data: Column) -> Column:
     """SHA-256 of the exact bytes."""
@@ -14,8 +12,9 @@ def content_hash(data: Column) -> Column:
 
 
 def canonical(*columns: Column) -> Column:
-    """An injective text of integers, dates and strings without control characters; null differs from empty."""
-    return F.concat_ws(SEPARATOR, *(F.coalesce(c.cast("string"), F.lit(NULL)) for c in columns))
+    """An injective text of any values: each field's length in bytes, a colon and the field; a null is an n."""
+    field = lambda c: F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n"))
+    return F.concat(*map(field, columns))
 
 
 def row_hash(*columns: Column) -> Column:
@@ -23,7 +22,7 @@ def row_hash(*columns: Column) -> Column:
 
 
 def is_hash(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(text.rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
 
 
 def short(hash_: Column) -> Column:

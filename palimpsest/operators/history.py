@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.storage import stored
+from palimpsest.plans.storage import drop_stored, stored
 
 
 def closure(commits: DataFrame, starts: DataFrame, doublings: int = 2) -> DataFrame:
@@ -48,3 +48,67 @@ def merge_bases(reached: DataFrame, pairs: DataFrame) -> DataFrame:
     common = pairs.join(a, "a").join(b, ["b", "id"])
     best = common.groupBy("a", "b").agg(F.max("height").alias("height"))
     return common.join(best, ["a", "b", "height"]).groupBy("a", "b", "height").agg(F.min("id").alias("base"))
+
+
+def _edges(commits: DataFrame) -> DataFrame:
+    """id, parent, height (the parent's), stored."""
+    heights = commits.select(F.col("id").alias("parent"), "height")
+    return stored(commits.select("id", F.explode("parents").alias("parent")).join(heights, "parent").select("id", "parent", "height"), "edges")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def logs(commits: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
+    """start, id, height, place of the first ``limit`` commits that each start (start, id) reaches: highest first, then by id.
+
+    A commit among the first has its children among them, so each round goes
+    on only from those that are: no more than ``limit`` are held for a start.
+    """
+    if not 1 <= limit <= 10_000:
+        raise ValueError("a log has 1 to 10,000 commits")
+    edges = _edges(commits)
+    by = Window.partitionBy("start").orderBy(F.desc("height"), "id")
+    found = stored(starts.join(commits.select("id", "height"), "id").select("start", "id", "height").distinct().withColumns({"fresh": F.lit(True), "place": F.lit(1).cast("long")}), "log")
+    while True:
+        further = found.where("fresh").join(edges.withColumnRenamed("height", "parent_height"), "id").select("start", F.col("parent").alias("id"), F.col("parent_height").alias("height"), F.lit(True).alias("fresh"))
+        all_of = found.select("start", "id", "height", F.lit(False).alias("fresh")).unionByName(further).groupBy("start", "id", "height").agg(F.bool_and("fresh").alias("fresh"))
+        after = stored(all_of.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= limit), "log")
+        drop_stored(found)
+        found = after
+        if not found.where("fresh").limit(1).count():
+            drop_stored(edges)
+            return found.select("start", "id", "height", "place")
+
+
+def nearest_bases(commits: DataFrame, starts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, height, base: of pairs (a, b) of starts (start, id), the highest commit that both reach, the least id of equals.
+
+    Both frontiers go down together, the highest commits of each pair first,
+    so its first commit with both marks is the base, and nothing below it is
+    read. Pairs without a common commit have no row.
+    """
+    edges = _edges(commits)
+    heads = starts.join(commits.select("id", "height"), "id").select("start", "id", "height")
+    side = lambda name, mark: pairs.join(heads.withColumnRenamed("start", name), name).select("a", "b", "id", "height", F.lit(mark).alias("marks"))
+    frontier = side("a", 1).unionByName(side("b", 2))
+    pair = Window.partitionBy("a", "b")
+    settled: list[DataFrame] = []
+    while True:
+        merged = frontier.groupBy("a", "b", "id", "height").agg(F.bit_or("marks").alias("marks"))
+        top = merged.withColumn("top", F.max("height").over(pair)).withColumn("met", F.max((F.col("marks") == 3) & (F.col("height") == F.col("top"))).over(pair))
+        now = stored(top, "frontier")
+        if not now.limit(1).count():
+            drop_stored(edges)
+            break
+        settled.append(now.where("met and marks = 3 and height = top").groupBy("a", "b", "height").agg(F.min("id").alias("base")))
+        if len(settled) % 8 == 0:
+            settled = [stored(_union(settled), "bases")]
+        rest = now.where("not met")
+        down = rest.where("height = top").drop("height").join(edges, "id").select("a", "b", F.col("parent").alias("id"), "height", "marks")
+        frontier = rest.where("height < top").select("a", "b", "id", "height", "marks").unionByName(down)
+    return _union(settled) if settled else pairs.limit(0).select("a", "b", F.lit(0).cast("long").alias("height"), F.lit(None).cast(commits.schema["id"].dataType).alias("base"))

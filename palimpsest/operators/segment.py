@@ -8,6 +8,7 @@ exact in 38-digit integers.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,50 +57,93 @@ def gear(seed: str) -> np.ndarray:
 
 
 WIDTH = 48  # bytes that the rolling hash covers
+BLOCK = 1 << 21  # bytes hashed at a time
 
 
 def rolling_hashes(data: np.ndarray, seed: str) -> np.ndarray:
-    """At each byte: exclusive or of the values of the ``WIDTH`` bytes up to it, each rotated by its age; zeros come before."""
-    values = gear(seed)[np.concatenate([np.zeros(WIDTH - 1, np.uint8), data])]
-    out = np.zeros(len(data), np.uint64)
-    for age in range(WIDTH):
-        v = values[WIDTH - 1 - age : len(values) - age]
-        out ^= (v << np.uint64(age)) | (v >> np.uint64((64 - age) % 64)) if age else v
-    return out
+    """At each byte: exclusive or of the values of the ``WIDTH`` bytes up to it, each rotated by its age; zeros come before.
 
-
-def cut_points(data: bytes, least: int, most: int, mask: int, seed: str) -> list[int]:
-    """Ends of chunks: hits of a hard mask below ``least`` bytes, of an easy one from there on, and at ``most``."""
-    hashes = rolling_hashes(np.frombuffer(data, np.uint8), seed)
-    hard = np.flatnonzero((hashes & np.uint64(mask << 2 | mask)) == 0) + 1
-    easy = np.flatnonzero((hashes & np.uint64(mask >> 2)) == 0) + 1
-    ends, start = [], 0
-    while start < len(data):
-        end = min(start + most, len(data))
-        h, e = np.searchsorted(hard, start + 1), np.searchsorted(easy, start + least)
+    The hash of 2 w bytes is that of the last w and, rotated by w, that of the
+    w before them; 32 and 16 bytes make ``WIDTH``.
+    """
+    n = WIDTH - 1
+    h = gear(seed)[np.concatenate([np.zeros(n, np.uint8), data])]
+    sixteen = None
+    for w in (1, 2, 4, 8, 16):
+        if w == 16:
+            sixteen = h
+        before = h[:-w]
+        h = h.copy()
+        h[w:] ^= before << np.uint64(w) | before >> np.uint64(64 - w)
+    before = sixteen[n - 32 : len(h) - 32]
+    return h[n:] ^ (before << np.uint64(32) | before >> np.uint64(32))
+
+
+def hits(data: np.ndarray, mask: int, seed: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places after the bytes whose hash passes the hard mask, and after those that pass the easy one."""
+    hard, easy = [], []
+    for start in range(0, len(data), BLOCK):
+        before = min(start, WIDTH - 1)  # bytes of the block before, of which the first hashes consist
+        h = rolling_hashes(data[start - before : start + BLOCK], seed)[before:]
+        some = np.flatnonzero((h & np.uint64(mask >> 2)) == 0)
+        easy.append(some + start + 1)
+        hard.append(some[(h[some] & np.uint64(mask << 2 | mask)) == 0] + start + 1)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(hard or none), np.concatenate(easy or none)
+
+
+def _ends(hard: list[int], easy: list[int], begin: int, stop: int, least: int, most: int) -> list[int]:
+    """Ends of the chunks of the stream at data[begin:stop]."""
+    ends, start = [], begin
+    while start < stop:
+        end = min(start + most, stop)
+        h, e = bisect_left(hard, start + 1), bisect_left(easy, start + least)
         if h < len(hard) and hard[h] < min(start + least, end):
-            end = int(hard[h])
+            end = hard[h]
         elif e < len(easy) and easy[e] < end:
-            end = int(easy[e])
+            end = easy[e]
         ends.append(end)
         start = end
     return ends
 
 
+def cut_points(data: bytes, least: int, most: int, mask: int, seed: str) -> list[int]:
+    """Ends of chunks: hits of a hard mask below ``least`` bytes, of an easy one from there on, and at ``most``."""
+    hard, easy = hits(np.frombuffer(data, np.uint8), mask, seed)
+    return _ends(hard.tolist(), easy.tolist(), 0, len(data), least, most)
+
+
 def chunks(streams: DataFrame, least: int = 16 << 10, most: int = 512 << 10, mask: int = 0xFFFF, seed: str = "palimpsest-") -> DataFrame:
-    """stream, seq, bytes and hash of the chunks of each row's data. One row's data is one stream."""
+    """stream, seq, bytes and hash of the chunks of each row's data. One row's data is one stream.
+
+    A task hashes the streams of a batch together, with zeros between them; a
+    null or empty stream has no chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gap = bytes(WIDTH - 1)
         for batch in batches:
-            out: dict[str, list] = {"stream": [], "seq": [], "bytes": [], "hash": []}
-            for stream, data in zip(batch.column("stream").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                start = 0
-                for seq, end in enumerate(cut_points(data or b"", least, most, mask, seed)):
-                    out["stream"].append(stream)
-                    out["seq"].append(seq)
-                    out["bytes"].append(end - start)
-                    out["hash"].append(hashlib.sha256(data[start:end]).hexdigest())
-                    start = end
-            yield pa.RecordBatch.from_pydict({"stream": pa.array(out["stream"], pa.int64()), "seq": pa.array(out["seq"], pa.int32()), "bytes": pa.array(out["bytes"], pa.int64()), "hash": pa.array(out["hash"], pa.string())})
+            streams, data = batch.column("stream").to_pylist(), [x or b"" for x in batch.column("data").to_pylist()]
+            first = 0
+            while first < len(data):
+                past, size = first, 0
+                while past < len(data) and (past == first or size + len(data[past]) <= BLOCK):
+                    size += len(data[past]) + WIDTH - 1
+                    past += 1
+                own = data[first:past]
+                hard, easy = (x.tolist() for x in hits(np.frombuffer(gap.join(own), np.uint8), mask, seed))
+                out: dict[str, list] = {"stream": [], "seq": [], "bytes": [], "hash": []}
+                begin = 0
+                for stream, x in zip(streams[first:past], own, strict=True):
+                    start = 0
+                    for seq, end in enumerate(_ends(hard, easy, begin, begin + len(x), least, most)):
+                        out["stream"].append(stream)
+                        out["seq"].append(seq)
+                        out["bytes"].append(end - begin - start)
+                        out["hash"].append(hashlib.sha256(x[start : end - begin]).hexdigest())
+                        start = end - begin
+                    begin += len(x) + WIDTH - 1
+                yield pa.RecordBatch.from_pydict({"stream": pa.array(out["stream"], pa.int64()), "seq": pa.array(out["seq"], pa.int32()), "bytes": pa.array(out["bytes"], pa.int64()), "hash": pa.array(out["hash"], pa.string())})
+                first = past
 
     return streams.select(F.col("stream").cast("long").alias("stream"), F.col("data").cast("binary").alias("data")).mapInArrow(run, "stream long, seq int, bytes long, hash string")

@@ -107,22 +107,30 @@ def chain_breaks(records: DataFrame) -> DataFrame:
 
 
 def rendezvous(names: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Volumes of each name by descending score, the first eight bytes of a hash of volume and name; ``volumes`` are at most 64."""
+    """Volumes of each name by descending score, the first eight bytes of a hash of volume and name; over 64 volumes are refused."""
+    if volumes.limit(65).count() > 64:
+        raise ValueError("at most 64 volumes")
     score = F.substring(F.sha2(F.concat_ws("\x1f", "volume", "name"), 256), 1, 16)
-    scored = names.join(F.broadcast(volumes.limit(64))).withColumn("score", score)
+    scored = names.join(F.broadcast(volumes)).withColumn("score", score)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "volume")).cast("long"))
 
 
 def mark(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """All nodes that the roots reach; only nodes that have been entered are passed over, never those merely named."""
-    entered = stored(roots.select("node").distinct(), "entered")
+    """All nodes that the roots reach; only nodes that have been entered are passed over, never those merely named.
+
+    What has been entered is one stored table after every eighth round, so
+    plans and files stay few in long chains.
+    """
+    entered, parts = stored(roots.select("node").distinct(), "entered"), 1
     frontier = entered
     while True:
         named = frontier.join(edges, frontier["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
         frontier = stored(named.join(entered, "node", "left_anti"), "frontier")
         if not frontier.limit(1).count():
             return entered
-        entered = entered.union(frontier)
+        entered, parts = entered.union(frontier), parts + 1
+        if parts % 8 == 0:
+            entered = stored(entered, "entered")
 
 
 def allowed(changes: DataFrame, grants: DataFrame) -> DataFrame:

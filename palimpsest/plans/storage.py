@@ -11,17 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
-    """For sessions that name no folder, as in local tests."""
+    """For local sessions that name no folder, as in tests."""
     return tempfile.mkdtemp(prefix="palimpsest-")
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """A new folder under spark.checkpoint.dir; a local session that names none has a temporary one, a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir()
     return f"{base.rstrip('/')}/palimpsest/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet and read again: lineage ends, and a lost executor costs no more than its task."""
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Delete the files behind ``stored`` DataFrames that nothing reads any more."""
+    for df in tables:
+        if folder := getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

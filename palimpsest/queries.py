@@ -111,10 +111,10 @@ def d01_diff_by_hash(spark, sf):
     return d.diff_by_hash(base(spark, sf), theirs(spark, sf), "k", VALUES)
 
 
-@query(f"with {VERSIONS}, late as (select k, m, s, c + case when k >= 3000 and k < 3500 then 1 else 0 end c from base) {DIFF.format(side='late')}")
+@query(f"with {VERSIONS}, late as (select k, m, s, c + case when k // 256 % 8 = 3 then 1 else 0 end c from base) {DIFF.format(side='late')}")
 def d02_pruned_diff(spark, sf):
-    late = base(spark, sf).withColumn("c", F.col("c") + F.when(F.col("k").between(3000, 3499), 1).otherwise(0))
-    return d.pruned_diff(base(spark, sf), late, "k", VALUES, 512)
+    late = base(spark, sf).withColumn("c", F.col("c") + F.when(F.expr("k div 256 % 8 = 3"), 1).otherwise(0))  # every eighth segment
+    return d.pruned_diff(base(spark, sf), late, "k", VALUES, 256)
 
 
 @query(
@@ -228,7 +228,8 @@ def s17_list_page(spark, sf):
 
 
 @query(
-    """select o_orderkey, sha256(concat(o_orderkey, chr(31), o_custkey, chr(31), o_orderstatus, chr(31), cast(round(o_totalprice * 100) as bigint))) row_hash,
+    """select o_orderkey, sha256(concat(strlen(cast(o_orderkey as varchar)), ':', o_orderkey, strlen(cast(o_custkey as varchar)), ':', o_custkey, strlen(o_orderstatus), ':', o_orderstatus,
+      strlen(cast(cast(round(o_totalprice * 100) as bigint) as varchar)), ':', cast(round(o_totalprice * 100) as bigint))) row_hash,
     substr(sha256(cast(o_orderkey as varchar)), 1, 12) short from orders"""
 )
 def c07_row_identity(spark, sf):
@@ -250,12 +251,12 @@ def f01_valid_path(spark, sf):
     return table(spark, sf, "pages").select("page_id", grammar.valid_path(F.regexp_replace("url", "^https?://", "")).alias("valid"))
 
 
-NAME_CASES = "case c_custkey % 7 when 0 then concat('feature/', c_mktsegment) when 1 then concat('a..', c_name) when 2 then concat(c_mktsegment, '.lock') when 3 then concat(c_name, '/') when 4 then concat('x//', c_mktsegment) when 5 then lower(c_mktsegment) else c_name end"
+NAME_CASES = "case c_custkey % 7 when 0 then concat('feature/', c_mktsegment) when 1 then concat('a..', c_name) when 2 then concat(c_mktsegment, '.lock') when 3 then concat(c_name, '/') when 4 then concat('x//', c_mktsegment) when 5 then concat(lower(c_mktsegment), '/.', c_name, '.lock/x') else c_name end"
 
 
 @query(
     f"""with n as (select c_custkey, {NAME_CASES} "name" from customer) select c_custkey, "name", regexp_matches("name", '^[A-Za-z0-9][A-Za-z0-9._/-]{{0,127}}$')
-    and not regexp_matches("name", '\\.\\.|//|/$|\\.lock$|/[.-]|\\.lock/') valid from n"""
+    and not regexp_matches("name", '\\.\\.|//|/$|\\.lock$') valid from n"""
 )
 def f02_valid_ref(spark, sf):
     names = table(spark, sf, "customer").select("c_custkey", F.expr(NAME_CASES).alias("name"))
@@ -336,7 +337,7 @@ def g01_history_closure(spark, sf):
 @query(f"with recursive {COMMITS_SQL} select * from (select start, id, height, row_number() over (partition by start order by height desc, id) place from reached) where place <= 10")
 def k01_log(spark, sf):
     commits = commit_graph(spark, sf)
-    return history.log(history.closure(commits, tips(commits)), 10)
+    return history.logs(commits, tips(commits), 10)
 
 
 @query(
@@ -348,7 +349,7 @@ def k02_merge_base(spark, sf):
     commits = commit_graph(spark, sf)
     starts = tips(commits)
     pairs = starts.groupBy(F.expr("start div 2").alias("g")).agg(F.min("start").alias("a"), F.max("start").alias("b"), F.count("*").alias("n")).where("n = 2").select("a", "b")
-    return history.merge_bases(history.closure(commits, starts), pairs)
+    return history.nearest_bases(commits, starts, pairs)
 
 
 # Packs: 64 orders a pack; a chunk is a part, and a part's lines repeat it.
@@ -421,12 +422,13 @@ def k03_repack_selection(spark, sf):
 
 @query(
     """with o as (select concat('o', o_orderkey) "name", o_orderkey modified from orders), named as (select concat('o', l_orderkey) "name" from lineitem where l_linenumber = 3), rec as (select concat('o', o_orderkey) "name" from orders where o_orderkey % 10 = 0)
-    select "name", modified from o where 10000 - modified >= 1000 and "name" not in (select "name" from named) and "name" not in (select "name" from rec)"""
+    select "name", modified from o where (select max(o_orderkey) from orders) * 10 // 11 >= modified and "name" not in (select "name" from named) and "name" not in (select "name" from rec)"""
 )
 def d09_orphans(spark, sf):
     orders = table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("name"), F.col("o_orderkey").alias("modified"))
     named = table(spark, sf, "lineitem").where("l_linenumber = 3").select(F.concat(F.lit("o"), "l_orderkey").alias("name"))
-    return store.orphans(orders, named, orders.where("modified % 10 = 0"), 10_000, 1000)
+    last = orders.agg(F.max("modified")).first()[0] or 0
+    return store.orphans(orders, named, orders.where("modified % 10 = 0"), last, last - last * 10 // 11)
 
 
 @query(

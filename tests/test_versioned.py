@@ -157,18 +157,20 @@ def test_repository_branches_merges_and_collects(repository):
     assert {r["key"] for r in repo.diff("v1", "main").collect()} == {1, 2, 10}
     assert repo.diff("v1", first).count() == 0
     assert len(repo.log("main", 10)) == 4 and repo.merge_base("main", "feature/x") == repo.resolve_ref("feature/x")
-    assert len(repo.garbage()) == 1  # the merged snapshot before the conflict was settled
-    repo.collect(repo.garbage())
-    assert repo.garbage() == [] and repo.read("v1").count() == 10
+    assert repo.garbage() == []  # too young
+    assert len(repo.garbage(grace=-5)) == 1  # the merged snapshot before the conflict was settled
+    assert repo.collect() == [] and len(repo.collect(grace=-5)) == 1
+    assert repo.garbage(grace=-5) == [] and repo.read("v1").count() == 10 and repo.read("main").count() == 11
     with pytest.raises(ValueError):
         repo.branch("x.lock", "main")
 
 
-def test_equal_rows_make_equal_snapshots_and_writers_lose_cleanly(repository):
+def test_equal_rows_make_equal_snapshots_and_writers_lose_cleanly(repository, tmp_path):
     repo, frame = repository
     number, state = repo.state()
     assert repo.write(frame([(i, 7, "a", i) for i in reversed(range(10))])) == state["work"]["main"]["snapshot"]
     assert repo._swap(number, state) and not repo._swap(number, state)
+    (tmp_path / "repo" / "state" / "left-over").write_text("{")  # of a writer that stopped
     repo.branch("b", "main")
     repo.stage("b", frame([(1, 7, "q", 1)]))
     repo.commit("b", "u", "less")
@@ -188,3 +190,133 @@ def test_stream_commits_once(repository, spark, tmp_path):
         commit_stream(edits, repo, "main", "seq", "user:s", str(tmp_path / "wal")).awaitTermination(120)
     assert len(repo.log("main", 10)) == 2
     assert {r["k"]: r["s"] for r in repo.read("main").collect()} == {**dict.fromkeys([0, *range(3, 10)], "a"), 2: "n"}
+
+
+def test_streams_to_one_branch_each_commit_their_own_batches(repository, spark, tmp_path):
+    from palimpsest.streaming.journal import commit_stream
+
+    repo, _ = repository
+    schema = "k long, op string, m int, s string, c long, seq long"
+    for name, key in (("x", 101), ("y", 102)):
+        spark.createDataFrame([(key, "put", 7, name, 5, 1)], schema).coalesce(1).write.parquet(str(tmp_path / name))
+        commit_stream(spark.readStream.schema(schema).parquet(str(tmp_path / name)), repo, "main", "seq", "user:s", str(tmp_path / f"wal-{name}")).awaitTermination(120)
+    assert {r["k"]: r["s"] for r in repo.read("main").where("k > 100").collect()} == {101: "x", 102: "y"}
+    edits = spark.createDataFrame([(103, "put", 7, "z", 5, 1)], schema)
+    assert repo.publish("main", edits, "seq", "user:s", "first", stream=("s", 4)) and repo.publish("main", edits, "seq", "user:s", "again", stream=("s", 4)) is None
+    repo.stage("main", repo.read("main").where("k <> 103"))
+    with pytest.raises(Conflict):
+        repo.publish("main", edits, "seq", "user:s", "over uncommitted work")
+
+
+def test_writers_do_not_overwrite_each_other_unseen(repository):
+    repo, frame = repository
+    seen = repo.state()[1]["work"]["main"]["snapshot"]
+    repo.stage("main", frame([(1, 7, "first", 1)]), expected=seen)
+    with pytest.raises(Conflict):
+        repo.stage("main", frame([(1, 7, "second", 1)]), expected=seen)
+    with pytest.raises(Conflict):
+        repo.commit("main", "u", "on another head", expected="0" * 64)
+    repo.branch("b", "main")
+    repo.stage("b", frame([(1, 7, "x", 1)]))
+    with pytest.raises(Conflict):
+        repo.delete_branch("b")
+    repo.delete_branch("b", force=True)
+    repo.tag("t", "main", "u")
+    assert list(repo.branches()) == ["main"] and list(repo.tags()) == ["t"]
+    repo.delete_tag("t")
+    assert repo.tags() == {}
+
+
+def test_edits_write_and_diffs_read_only_the_segments_that_they_touch(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "repo"), Schema("k", ("v", "m"), "m", width=10))
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string, m int")
+    rows = [(i, f"v{i}", 7) for i in range(200)]
+    repo.init(frame(rows), "u")
+    first = repo.state()[1]["work"]["main"]["snapshot"]
+    files = lambda: set((tmp_path / "repo" / "data").glob("*/segment=*/*.parquet"))
+    before = files()
+    assert len(before) == 20
+    edits = spark.createDataFrame([(57, "put", "new", 7, 1), (151, "delete", None, None, 2)], "k long, op string, v string, m int, o long")
+    second = repo.edit("main", edits, "o")
+    assert len(files() - before) == 2
+    new = repo.commit("main", "u", "two edits")
+    old = repo.record(new)["parents"][0]
+    wanted = [(k, "new" if k == 57 else v, m) for k, v, m in rows if k != 151]
+    assert sorted(map(tuple, repo.read("main").select("k", "v", "m").collect())) == wanted
+    assert second == repo.write(frame(wanted[::-1]))  # the history of a snapshot does not matter
+    changes = repo.diff(old, new)
+    assert len(changes.inputFiles()) == 4 and {(r["key"], r["kind"]) for r in changes.collect()} == {(57, 3), (151, 2)}
+    assert repo.diff(new, new).inputFiles() == [] and repo.snapshots.changed_segments(first, second).count() == 2
+    repo.branch("b", old)
+    repo.edit("b", spark.createDataFrame([(58, "put", "theirs", 7, 1), (5, "put", "theirs", 7, 2)], "k long, op string, v string, m int, o long"), "o")
+    repo.commit("b", "u", "theirs")
+    before = files()
+    assert repo.merge("main", "b", merge.PER_CELL) == []
+    assert len(files() - before) == 1  # only keys 50 to 59 changed on both sides
+    assert {r["k"]: r["v"] for r in repo.working("main").where("k in (5, 57, 58)").collect()} == {5: "theirs", 57: "new", 58: "theirs"}
+    with pytest.raises(Exception, match="a key is null"):
+        repo.write(frame([(None, "x", 7)]))
+
+
+def test_logs_and_bases_by_frontiers_equal_those_by_closure(spark):
+    import random
+
+    random.seed(4)
+    graph = []
+    for i in range(120):
+        parents = sorted({random.randrange(max(0, i - 12), i) for _ in range(random.choice([1, 1, 2]))}) if i > 2 else []
+        graph.append((i, parents, 1 + max((graph[p][2] for p in parents), default=-1)))
+    commits = spark.createDataFrame(graph, "id long, parents array<long>, height long")
+    starts = spark.createDataFrame([(k, random.randrange(60, 120)) for k in range(12)], "start long, id long")
+    pairs = spark.createDataFrame([(a, a + 1) for a in range(11)] + [(3, 3)], "a long, b long")
+    reached = history.closure(commits, starts)
+    rows = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    assert rows(history.logs(commits, starts, 7), "start", "id", "place") == rows(history.log(reached, 7), "start", "id", "place")
+    assert rows(history.nearest_bases(commits, starts, pairs), "a", "b", "height", "base") == rows(history.merge_bases(reached, pairs), "a", "b", "height", "base")
+
+
+def test_row_hashes_tell_separators_and_nulls_apart(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k long, a string, b string")
+    before, after = frame([(1, "a\x1fb", "c"), (2, None, "x"), (3, "1:a", "")]), frame([(1, "a", "b\x1fc"), (2, "\x00", "x"), (3, "1:a", None)])
+    assert diff.diff_by_hash(before, after, "k", ["a", "b"]).count() == 3 == diff.diff(before, after, "k", ["a", "b"]).count()
+
+
+def test_names_end_where_they_end(spark):
+    names = spark.createDataFrame([("dev\n", 0), ("feature/.x", 1), ("a/-b", 1), ("x.lock/y", 1)], "n string, valid int")
+    assert all(r[0] == bool(r[1]) for r in names.select(grammar.valid_ref(F.col("n")), "valid").collect())
+    assert not spark.createDataFrame([("a\n",)], "n string").select(grammar.valid_object_name(F.col("n"))).first()[0]
+    assert not spark.createDataFrame([("0" * 64 + "\n",)], "n string").select(hashing.is_hash(F.col("n"))).first()[0]
+
+
+def test_too_many_volumes_are_refused(spark):
+    names = spark.createDataFrame([("n",)], "name string")
+    volumes = lambda n: spark.range(n).select(F.concat(F.lit("v"), "id").alias("volume"))
+    assert store.rendezvous(names, volumes(64)).count() == 64
+    with pytest.raises(ValueError):
+        store.rendezvous(names, volumes(65))
+
+
+def test_chunks_equal_those_of_a_plain_loop(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(segment, "BLOCK", 5000)
+    rng = random.Random(8)
+    streams = [rng.randbytes(n) for n in (0, 1, 300, 6000, 20_000)] + [b"\0" * 3000, b"ab" * 4000]
+
+    def rotated(v, k):
+        return (v << k | v >> (64 - k)) & (2**64 - 1) if k else v
+
+    table = [int(v) for v in segment.gear("s")]
+    want = []
+    for number, data in enumerate(streams):
+        padded, start, seq = bytes(47) + data, 0, 0
+        for i in range(len(data)):
+            h = 0
+            for age in range(48):
+                h ^= rotated(table[padded[i + 47 - age]], age)
+            n = i + 1 - start
+            if n == 900 or i + 1 == len(data) or (n < 200 and not h & (0x7F << 2 | 0x7F)) or (n >= 200 and not h & (0x7F >> 2)):
+                want.append((number, seq, n, hashlib.sha256(data[start : i + 1]).hexdigest()))
+                start, seq = i + 1, seq + 1
+    rows = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(streams)] + [(99, None)], "stream long, data binary").coalesce(1)
+    assert sorted(map(tuple, segment.chunks(rows, least=200, most=900, mask=0x7F, seed="s").collect())) == want
