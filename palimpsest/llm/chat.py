@@ -13,7 +13,8 @@ gathered, which fixes the states at its edges; each task then repairs its own
 stretches.
 
 Turns are ordered by (turn, role, text), so repeated rows and equal turn
-numbers have a defined order; null turns come first. Rows with a null conv_id
+numbers have a defined order; null turns come first. Text that looks like a
+control token is escaped, so no turn can forge another. Rows with a null conv_id
 are one conversation. A null text is empty; a null or unknown role may become
 any at the least relabelling cost. Other columns are ignored.
 """
@@ -38,6 +39,16 @@ FAR = 10**15
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 
 
+def escaped(text: str) -> str:
+    """``text`` with every <| written as <||, so that it holds no control token; ``unescaped`` undoes it."""
+    return text.replace("<|", "<||")
+
+
+def unescaped(text: str) -> str:
+    return text.replace("<||", "<|")
+
+
+
 def relabel_cost(role: str, to: int) -> int:
     name = ROLES[to - 1]
     if role == name:
@@ -174,7 +185,7 @@ def _format(edges):
             entry, leave, before = known.get((stretch[0]["pid"], conv), (START, None, 0))
             steps = repair([r["known"] for r in stretch], entry, leave)
             for k, (row, (state, action, inserted)) in enumerate(zip(stretch, steps, strict=True)):
-                role, text = ROLES[state - 1], row["text"] or ""
+                role, text = ROLES[state - 1], escaped(row["text"] or "")
                 begun = before + k > 0
                 rendered = "\n" + text if action == "merge" else (CLOSE if begun else "") + empty(inserted) + OPEN.format(role) + text
                 names = [ROLES[s - 1] for s in inserted]
@@ -193,15 +204,27 @@ def _format(edges):
 def format_chats(conversations: DataFrame, partitions: int | None = None) -> DataFrame:
     """A row for each turn: its place, repaired role, what was done, roles inserted before it (after it: +), and its rendering.
 
-    A conversation's rendering is that of its turns in order of ``position``.
+    A conversation's rendering is that of its turns in order of ``position``
+    (see ``rendered``); texts are ``escaped`` in it.
     At most two matrices of each partition are gathered.
     """
     spark = conversations.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["conv_id", "turn", "role", "text"]
+    split = F.monotonically_increasing_id()  # of rows that are equal in all four, whose order is of no account
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.col("text").cast("string").alias("text"))
-    dealt = stored(rows.repartitionByRange(partitions, *order).withColumn("pid", F.spark_partition_id()), "turns")
+    dealt = stored(rows.repartitionByRange(partitions, *order, split).withColumn("pid", F.spark_partition_id()), "turns")
     of_partition = dealt.repartitionById(partitions, F.col("pid")).sortWithinPartitions(*order)
     edges = of_partition.select("pid", "conv_id", "role").mapInArrow(_edges, EDGES).collect()
     known = spark.sparkContext.broadcast(edge_states(edges))
     return of_partition.mapInArrow(_format(known), FORMATTED)
+
+
+def rendered(formatted: DataFrame) -> DataFrame:
+    """conv_id, n_turns and the whole rendering of each conversation, from the rows of ``format_chats``.
+
+    A rendering is one row: it is for conversations that fit in one, and
+    others stay as rows of their turns.
+    """
+    turns = formatted.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("position", "rendered"))).alias("turns"))
+    return turns.select("conv_id", "n_turns", F.array_join(F.transform("turns", lambda t: t["rendered"]), "").alias("rendering"))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.plans.storage import drop_stored, shared_dir, stored
+
+__all__ = ["BATCH_CHARS", "documents", "drop_stored", "few", "read", "shared_dir", "slices", "stored", "tokenizer_path"]
+
 #: Characters of text that a Python task holds at once, but for a single longer text.
 BATCH_CHARS = 8_000_000
 
@@ -28,43 +29,9 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    """For local sessions that name no folder, as in tests."""
-    return tempfile.mkdtemp(prefix="palimpsest-")
-
-
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors share.
-
-    Where a local session names none, a temporary folder takes its place; on
-    a cluster, whose machines don't share one, that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own_dir()
-    return f"{base.rstrip('/')}/palimpsest/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def drop_stored(*tables: DataFrame | None) -> None:
-    """Delete the files behind ``stored`` DataFrames that nothing reads any more."""
-    for df in tables:
-        if folder := getattr(df, "stored_at", None):
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def few(ids: DataFrame, bound: int) -> DataFrame:
+    """``ids`` with a broadcast hint if a count shows at most ``bound`` rows."""
+    return F.broadcast(ids) if ids.count() <= bound else ids
 
 
 def documents(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ words is one window, looked up at every position.
 
 The benchmark is cut by a hash of its rows into blocks of at most about
 ``block_bytes`` of text, and each block's index is broadcast in its turn and
-joined with all documents where these are read: documents are never shuffled,
-and no broadcast grows with the benchmark. An item longer than a block is cut
+looked up where documents are read, so no broadcast grows with the benchmark.
+With one block documents are not shuffled; with more, each block's finds are
+written, and all of them joined with the documents in the end. An item longer than a block is cut
 into pieces that share ``WINDOW`` - 1 words.
 
 Null and empty texts have no words. An item without words occurs nowhere; a
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices, stored
+from palimpsest.llm.common import few, slices, stored
 from palimpsest.llm.textbytes import Words, alnum_class, byte_values, find_words, lowered, mix, window_hashes, word_hashes
 
 WINDOW, GRAM = 13, 8
@@ -149,45 +150,78 @@ class Index:
 SPANS = pa.list_(pa.int64())
 
 
-def _scan(index, first: bool):
-    """Adds one block's finds to n_words, spans (starts and ends of hit words in turn) and items."""
+def _finds(block: Index, words: Words, rows: int) -> tuple[list[list[int]], list[list[str]]]:
+    """Of each text, in words: spans (starts and ends in turn) of its hit words, and the items."""
+    starts, sizes, ids = block.find(words)
+    hit = np.zeros(len(words.start) + 1, np.int64)
+    np.add.at(hit, starts, 1)
+    np.add.at(hit, starts + sizes, -1)
+    hit = np.cumsum(hit[:-1]) > 0
+    spans: list[list[int]] = [[] for _ in range(rows)]
+    items: list[list[str]] = [[] for _ in range(rows)]
+    # A run of hit words ends where its text ends.
+    edge = np.diff(np.r_[0, hit.astype(np.int8), 0])
+    run_starts, run_ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    for s, e in zip(run_starts.tolist(), run_ends.tolist(), strict=True):
+        while s < e:
+            t = int(words.text[s])
+            stop = min(e, int(words.first[t + 1]))
+            spans[t] += [s - int(words.first[t]), stop - int(words.first[t])]
+            s = stop
+    pairs = np.unique(np.stack([words.text[starts], ids], 1), axis=0) if len(starts) else np.zeros((0, 2), np.int64)
+    texts, begins = np.unique(pairs[:, 0], return_index=True)
+    for t, own in zip(texts.tolist(), np.split(pairs[:, 1], begins[1:]), strict=False):
+        items[t] = sorted(set().union(*(block.lists[i] for i in own)))
+    return spans, items
+
+
+def _scan(index):
+    """Every row with its n_words, spans and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Index = index.value
         for part in slices(batches, "text"):
             words = find_words(part.column("text"), alnum_class())
-            starts, sizes, ids = block.find(words)
-            hit = np.zeros(len(words.start) + 1, np.int64)
-            np.add.at(hit, starts, 1)
-            np.add.at(hit, starts + sizes, -1)
-            hit = np.cumsum(hit[:-1]) > 0
-            spans: list[list[int]] = [[] for _ in range(part.num_rows)]
-            items: list[list[str]] = [[] for _ in range(part.num_rows)]
-            if not first:
-                items = part.column("items").to_pylist()
-                for t, old in enumerate(part.column("spans").to_pylist()):
-                    for s, e in zip(old[::2], old[1::2], strict=True):
-                        hit[words.first[t] + s : words.first[t] + e] = True
-            # A run of hit words ends where its text ends.
-            edge = np.diff(np.r_[0, hit.astype(np.int8), 0])
-            run_starts, run_ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            for s, e in zip(run_starts.tolist(), run_ends.tolist(), strict=True):
-                while s < e:
-                    t = int(words.text[s])
-                    stop = min(e, int(words.first[t + 1]))
-                    spans[t] += [s - int(words.first[t]), stop - int(words.first[t])]
-                    s = stop
-            pairs = np.unique(np.stack([words.text[starts], ids], 1), axis=0) if len(starts) else np.zeros((0, 2), np.int64)
-            texts, begins = np.unique(pairs[:, 0], return_index=True)
-            for t, own in zip(texts.tolist(), np.split(pairs[:, 1], begins[1:]), strict=False):
-                items[t] = sorted(set(items[t]).union(*(block.lists[i] for i in own)))
-            kept = {"row": part.column("row"), "doc_id": part.column("doc_id"), "text": part.column("text")}
-            new = {"n_words": pa.array(words.counts(), pa.int64()), "spans": pa.array(spans, SPANS), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_pydict(kept | new)
+            spans, items = _finds(index.value, words, part.num_rows)
+            yield pa.RecordBatch.from_pydict(
+                {"row": part.column("row"), "doc_id": part.column("doc_id"), "n_words": pa.array(words.counts(), pa.int64()), "spans": pa.array(spans, SPANS), "items": pa.array(items, pa.list_(pa.string()))}
+            )
+
+    return run
+
+
+def _hits(index):
+    """key, spans and items of the rows that one block of the benchmark hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            spans, items = _finds(index.value, find_words(part.column("text"), alnum_class()), part.num_rows)
+            hit = [t for t, x in enumerate(spans) if x]
+            yield pa.RecordBatch.from_pydict(
+                {"key": part.column("key").take(pa.array(hit, pa.int64())), "spans": pa.array([spans[t] for t in hit], SPANS), "items": pa.array([items[t] for t in hit], pa.list_(pa.string()))}
+            )
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their n_words, and their finds of all blocks as one list of spans and one of items."""
+    for part in slices(batches, "text"):
+        words = find_words(part.column("text"), alnum_class())
+        spans, items = [], []
+        for finds in part.column("finds").to_pylist():
+            out: list[int] = []
+            for s, e in sorted(x for f in finds or () for x in zip(f["spans"][::2], f["spans"][1::2], strict=True)):
+                if out and s <= out[-1]:
+                    out[-1] = max(out[-1], e)
+                else:
+                    out += [s, e]
+            spans.append(out)
+            items.append(sorted({i for f in finds or () for i in f["items"]}))
+        yield pa.RecordBatch.from_pydict(
+            {"row": part.column("row"), "doc_id": part.column("doc_id"), "n_words": pa.array(words.counts(), pa.int64()), "spans": pa.array(spans, SPANS), "items": pa.array(items, pa.list_(pa.string()))}
+        )
+
+
 def _pieces(size: int):
     """Long items cut into pieces of about ``size`` words that overlap by WINDOW - 1."""
 
@@ -205,28 +239,39 @@ def _pieces(size: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False, block_bytes: int = 8_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False, block_bytes: int = 8_000_000, max_rows: int = 20_000) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated, and spans and items themselves.
 
-    ``block_bytes`` bounds what is gathered and broadcast at a time. With
+    ``block_bytes`` bounds what is gathered and broadcast at a time; finds of
+    up to ``max_rows`` documents are broadcast, more are joined. With
     ``carry``, the rows' own columns come as the struct ``row``.
     """
     spark = docs.sparkSession
     pieces = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
-    pieces = stored(pieces.mapInArrow(_pieces(max(100, block_bytes // 64)), "item string, text string"), "benchmark")
+    pieces = stored(pieces.distinct().mapInArrow(_pieces(max(100, block_bytes // 64)), "item string, text string"), "benchmark")
     total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + total // block_bytes
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
 
     row = F.struct(*(docs[c] for c in docs.columns)) if carry else F.struct(F.lit(1).alias("none"))
     rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, text string, n_words long, spans array<long>, items array<string>"
-    for block in range(n_blocks):
+    kinds = f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, n_words long, spans array<long>, items array<string>"
+
+    def index(block: int):
         own = pieces.where(F.col("block") == block).select("item", "text").toArrow()
-        index = spark.sparkContext.broadcast(Index(own.column("item").to_pylist(), own.column("text").to_pylist()))
-        rows = rows.mapInArrow(_scan(index, block == 0), kinds)
-        if n_blocks > 1:
-            rows = stored(rows, "scanned")
+        return spark.sparkContext.broadcast(Index(own.column("item").to_pylist(), own.column("text").to_pylist()))
+
+    if n_blocks == 1:
+        rows = rows.mapInArrow(_scan(index(0)), kinds)
+    else:
+        # Of each block only what it hits is written; the documents are read again for the next, and joined with all hits once.
+        keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+        hits = None
+        for block in range(n_blocks):
+            own = stored(keyed.select("key", "text").mapInArrow(_hits(index(block)), "key long, spans array<long>, items array<string>"), "hits")
+            hits = own if hits is None else hits.unionByName(own)
+        finds = stored(hits.groupBy("key").agg(F.collect_set(F.struct("spans", "items")).alias("finds")), "finds")  # one of each block
+        rows = keyed.join(few(finds, max_rows), "key", "left").select("row", "doc_id", "text", "finds").mapInArrow(_merged, kinds)
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"), lambda a, i: a + F.when(i % 2 == 1, F.col("spans")[i]).otherwise(-F.col("spans")[i]))
     n_hit = F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long"))
     return (

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import documents, drop_stored, slices, stored
+from palimpsest.llm.common import documents, drop_stored, few, slices, stored
 from palimpsest.llm.textbytes import BASE, byte_values, find_words, lowered, mix, space_class, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -192,11 +192,6 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def few(ids: DataFrame, bound: int) -> DataFrame:
-    """``ids`` with a broadcast hint if a count shows at most ``bound`` rows."""
-    return F.broadcast(ids) if ids.count() <= bound else ids
-
-
 def _open(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members of the buckets that hold more than one component, with root and the bucket's size."""
     if roots is None:

@@ -1,19 +1,21 @@
 """Quality rules: base rules, then robust multivariate outliers per language and source.
 
 Each document gives counts over its whole text, and the counts a vector of
-``DIM`` transformed statistics. For each (lang, source) a minimum covariance
-determinant estimate of centre and scatter is made by concentration steps
-over all documents: distances under the present estimate, the quantile of
-order ``support`` of the distances, moments of the documents within it. Each
-step lowers the determinant. A document is rejected whose squared Mahalanobis
-distance passes ``cutoff``. All sums, quantiles and moments are Spark
-aggregates with map-side combining, so a group may hold any share of the rows.
-
-Null lang or source is a group like any other. Groups of fewer than
-``min_group`` documents are judged by an estimate over all documents of their
-language, large groups' too, those of a language of fewer by one over all documents, and
-an input of fewer by none. A null or empty text has no words and fails the
-base rules. Repeated rows are judged each, other columns are carried along.
+``DIM`` transformed statistics. For each (lang, source), each language and all
+documents, minimum covariance determinant estimates of centre and scatter are
+made by concentration steps over all documents from three starts: distances
+under the present estimate, the quantile of order ``support`` of the distances,
+moments of the documents within it, until no determinant falls any more. A
+source's estimate is blended with its language's, and that with the estimate
+over all, by weights n² to ``held``²: what few documents say counts little, and
+no size switches from one estimate to another. A document is rejected whose
+squared Mahalanobis distance passes ``cutoff``. All sums, quantiles and moments
+are Spark aggregates with map-side combining, so a group may hold any share of
+the rows.
+
+Null lang or source is a group like any other. A null or empty text has no
+words and fails the base rules. Repeated rows are judged each, other columns
+are carried along.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices, stored
+from palimpsest.llm.common import drop_stored, slices, stored
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
@@ -120,91 +122,138 @@ def _distance() -> Column:
     return total
 
 
+MOMENTS = [*(f"m{i}" for i in range(DIM)), *(f"s{i}_{j}" for i, j in PAIRS)]
+#: A group's estimate: its rows, centre, scatter, inverse scatter with the least deviations added, and the log of the determinant.
+ESTIMATE = "g string, start int, n long, " + ", ".join(f"{c} double" for c in (*MOMENTS, *(f"v{i}_{j}" for i, j in PAIRS))) + ", log_det double"
+
+
+def _scatters(f: pd.DataFrame) -> np.ndarray:
+    out = np.empty((len(f), DIM, DIM))
+    for i, j in PAIRS:
+        out[:, i, j] = out[:, j, i] = f[f"s{i}_{j}"]
+    return out
+
+
+def _finished(f: pd.DataFrame, scatter: np.ndarray) -> pd.DataFrame:
+    """Scatters, their inverses and determinants as columns of ``f``, which has g, start, n and centres."""
+    out = f[["g", "start", "n", *(f"m{i}" for i in range(DIM))]].copy()
+    firm = scatter + np.diag([s * s for _, _, s in STATS])
+    inverse = np.linalg.inv(firm)
+    for i, j in PAIRS:
+        out[f"s{i}_{j}"], out[f"v{i}_{j}"] = scatter[:, i, j], inverse[:, i, j]
+    out["log_det"] = np.linalg.slogdet(firm)[1] if len(f) else np.zeros(0)
+    return out[[c.split()[0] for c in ESTIMATE.split(", ")]]
+
+
 def _inverted(scale: float):
-    """Moments of a group -> its centre and inverse scatter, with the least deviations added."""
-    floor = np.diag([s * s for _, _, s in STATS])
+    """Moments (means, and means of products) of a group -> its estimate."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = f[["g"]].copy()
-            scatter = np.empty((len(f), DIM, DIM))
-            for i in range(DIM):
-                out[f"m{i}"] = f[f"m{i}"]
-            for i, j in PAIRS:
-                scatter[:, i, j] = scatter[:, j, i] = scale * (f[f"s{i}_{j}"] - f[f"m{i}"] * f[f"m{j}"])
-            inverse = np.linalg.inv(scatter + floor)
-            for i, j in PAIRS:
-                out[f"v{i}_{j}"] = inverse[:, i, j]
-            yield out
+            centre = f[[f"m{i}" for i in range(DIM)]].to_numpy()
+            yield _finished(f, scale * (_scatters(f) - centre[:, :, None] * centre[:, None, :]))
 
     return run
 
 
-ESTIMATE = "g string, " + ", ".join([*(f"m{i} double" for i in range(DIM)), *(f"v{i}_{j} double" for i, j in PAIRS)])
+def _blended(held: float):
+    """Estimates joined with those above them (columns u_..): each weighs as n² against held²."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            up = f[[c for c in f if c.startswith("u_")]].rename(columns=lambda c: c[2:])
+            weight = (f["n"].astype(float) ** 2 / (f["n"].astype(float) ** 2 + held**2)).to_numpy()
+            scatter = weight[:, None, None] * _scatters(f) + (1 - weight)[:, None, None] * _scatters(up)
+            for i in range(DIM):
+                f[f"m{i}"] = weight * f[f"m{i}"] + (1 - weight) * up[f"m{i}"]
+            yield _finished(f, scatter)
+
+    return run
 
 
-def _joined(rows: DataFrame, groups: DataFrame, max_groups: int, n_groups: int, salts: int = 64) -> DataFrame:
+def _joined(rows: DataFrame, groups: DataFrame, max_groups: int, n_groups: int, salts: int = 64, key: str = "g") -> DataFrame:
     """Rows with their group's estimate: broadcast while there are few groups, else a join with salted keys."""
     if n_groups <= max_groups:
-        return rows.join(F.broadcast(groups), "g")
+        return rows.join(F.broadcast(groups), key)
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(salted, ["g", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*(f"x{i}" for i in range(DIM))), F.lit(salts)).cast("int")).join(salted, [key, "salt"]).drop("salt")
 
 
-def estimates(rows: DataFrame, support: float, steps: int, max_groups: int) -> tuple[DataFrame, int]:
-    """Centre and inverse scatter of each group g of the rows g, x0..; and how many groups there are."""
+def _moments(of: DataFrame, *by: str) -> DataFrame:
     xs = [f"x{i}" for i in range(DIM)]
-    middle = rows.groupBy("g").agg(*(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(x) for x in xs))
-    start = middle.select(
-        "g",
-        *(F.col(x)[1].alias(f"m{i}") for i, x in enumerate(xs)),
-        *((F.pow((F.col(xs[i])[2] - F.col(xs[i])[0]) / 1.349, 2) + F.col(xs[i])[1] * F.col(xs[i])[1] if i == j else F.col(xs[i])[1] * F.col(xs[j])[1]).alias(f"s{i}_{j}") for i, j in PAIRS),
-    )
-    groups = stored(start.mapInPandas(_inverted(1.0), ESTIMATE), "centres")
+    return of.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.avg(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i, j in PAIRS))
+
+
+def _starts(rows: DataFrame, max_groups: int) -> DataFrame:
+    """Three first estimates of each group: from medians and quartiles, from directions around the median, from all rows."""
+    xs = [f"x{i}" for i in range(DIM)]
+    middle = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(x) for x in xs))
+    spread = lambda i: F.greatest((F.col(xs[i])[2] - F.col(xs[i])[0]) / 1.349, F.lit(STATS[i][2] / 10))
+    middle = stored(middle.select("g", "n", *(F.col(x)[1].alias(f"c{i}") for i, x in enumerate(xs)), *(spread(i).alias(f"d{i}") for i in range(DIM))), "medians")
+    centre = lambda i: F.col(f"c{i}").alias(f"m{i}")
+    product = lambda i, j, scatter: (scatter + F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}")
+    plain = middle.select("g", F.lit(0).alias("start"), "n", *map(centre, range(DIM)), *(product(i, j, F.col(f"d{i}") * F.col(f"d{j}") if i == j else F.lit(0.0)) for i, j in PAIRS))
+    near = _joined(rows, middle.drop("n"), max_groups, middle.count())
+    z = [(F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"d{i}") for i in range(DIM)]
+    norm = sum((x * x for x in z), F.lit(1e-12))
+    signs = near.select("g", norm.alias("norm"), *(x.alias(f"z{i}") for i, x in enumerate(z))).groupBy("g").agg(*(F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).alias(f"q{i}_{j}") for i, j in PAIRS))
+    turned = signs.join(middle, "g").select("g", F.lit(1).alias("start"), "n", *map(centre, range(DIM)), *(product(i, j, DIM * F.col(f"q{i}_{j}") * F.col(f"d{i}") * F.col(f"d{j}")) for i, j in PAIRS))
+    whole = _moments(rows, "g").withColumn("start", F.lit(2))
+    return plain.unionByName(turned).unionByName(whole)
+
+
+def estimates(rows: DataFrame, support: float, max_steps: int, max_groups: int) -> DataFrame:
+    """The minimum covariance determinant estimate of each group g of the rows g, x0..
+
+    Concentration steps from several starts, until no group's determinant
+    falls by more than a thousandth; of each group the start that ends lowest.
+    """
+    groups = stored(_starts(rows, max_groups).mapInPandas(_inverted(1.0), ESTIMATE), "centres")
     n_groups = groups.count()
     scale = consistency(support)
-    for _ in range(steps):
-        near = _joined(rows, groups, max_groups, n_groups).withColumn("d2", _distance())
-        limit = near.groupBy("g").agg(F.percentile_approx("d2", F.lit(support), 5000).alias("limit"))
-        core = _joined(near, limit, max_groups, n_groups).where(F.col("d2") <= F.col("limit"))
-        moments = core.groupBy("g").agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.avg(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i, j in PAIRS))
-        groups = stored(moments.mapInPandas(_inverted(scale), ESTIMATE), "centres")
-    return groups, n_groups
+    for _ in range(max_steps):
+        inverse = groups.select("g", "start", *(f"m{i}" for i in range(DIM)), *(f"v{i}_{j}" for i, j in PAIRS))
+        near = _joined(rows, inverse, max_groups, n_groups).select("g", "start", *(f"x{i}" for i in range(DIM)), _distance().alias("d2")).withColumn("gs", F.struct("g", "start"))
+        limit = near.groupBy("gs").agg(F.percentile_approx("d2", F.lit(support), 5000).alias("limit"))
+        core = _joined(near, limit, max_groups, n_groups, key="gs").where(F.col("d2") <= F.col("limit"))
+        after = stored(_moments(core, "g", "start").mapInPandas(_inverted(scale), ESTIMATE), "centres")
+        fall = groups.select("g", "start", F.col("log_det").alias("was")).join(after.select("g", "start", "log_det"), ["g", "start"]).agg(F.max(F.abs(F.col("was") - F.col("log_det")))).first()[0]
+        drop_stored(groups)
+        groups = after
+        if (fall or 0.0) < 1e-3:
+            break
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
+    least = groups.groupBy("g").agg(F.min_by(F.struct(*[c for c in groups.columns if c != "g"]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
+    return least.join(sizes, "g").withColumn("n", F.col("size")).drop("size")
 
 
 def quality(
-    docs: DataFrame, carry: bool = False, support: float = 0.75, steps: int = 4, cutoff: float = 100.0, min_group: int = 50, max_groups: int = 20_000
+    docs: DataFrame, carry: bool = False, support: float = 0.75, max_steps: int = 8, cutoff: float = 100.0, held: float = 50.0, max_groups: int = 20_000
 ) -> DataFrame:
     """Counts, base_failed, distance and kept of every row of ``docs``.
 
     ``cutoff`` is a squared distance; 100 lies far beyond the 1 - 1e-15
     quantile of a normal sample, so what is rejected is no tail of the clean.
-    ``max_groups`` bounds what is broadcast: about 250 bytes for each group.
+    ``max_groups`` bounds what is broadcast: about 600 bytes for each group.
     ``carry``: the rows' own columns come too, as the struct ``row``.
     """
     rows = stored(with_statistics(docs, carry), "statistics")
     own = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
     pool = F.concat_ws("\x1e", F.coalesce("lang", F.lit("\x00")), F.lit("all"))
-    judged = rows.where(~F.col("base_failed"))
-    sizes = stored(judged.groupBy(own.alias("own"), pool.alias("pool")).agg(F.count("*").alias("n")), "sizes")
-    of_pool = sizes.groupBy("pool").agg(F.sum("n").alias("pool_n"))
-    of_all = F.broadcast(sizes.agg(F.sum("n").alias("all_n")))
-    level = F.when(F.col("n") >= min_group, F.col("own")).when(F.col("pool_n") >= min_group, F.col("pool")).when(F.col("all_n") >= min_group, F.lit(ALL))
-    named = stored(sizes.join(of_pool, "pool").crossJoin(of_all).select(F.col("own").alias("g"), "pool", level.alias("to")), "groups")
-    # A row counts for its own group if that is large, and for its language and for all where some group is judged by them.
-    pools = named.where("to = pool").select("pool").distinct().withColumn("pooled", F.lit(True))
-    for_all = F.lit(bool(named.where(F.col("to") == ALL).limit(1).count()))
-    lists = named.join(pools, "pool", "left").select(
-        "g", F.array_compact(F.array(F.when(F.col("to") == F.col("g"), F.col("g")), F.when(F.col("pooled"), F.col("pool")), F.when(for_all, F.lit(ALL)))).alias("tos")
-    )
-    named = named.drop("pool")
     x = [f"x{i}" for i in range(DIM)]
-    numbers = judged.select("doc_id", "n_words", "word_chars", own.alias("g"), *x)
-    n_named = named.count()
-    lists = stored(lists, "lists")
-    grouped = stored(_joined(numbers, lists, max_groups, n_named).withColumn("g", F.explode("tos")).drop("tos"), "vectors")
-    found, _ = estimates(grouped, support, steps, max_groups)
-    by_own = stored(named.join(found.withColumnRenamed("g", "to"), "to").drop("to"), "estimates")
+    # A row counts for its group, for its language and for all.
+    levels = F.explode(F.array(own, pool, F.lit(ALL))).alias("g")
+    vectors = stored(rows.where(~F.col("base_failed")).select(levels, *x), "vectors")
+    found = stored(estimates(vectors, support, max_steps, max_groups), "estimates")
+    named = stored(rows.where(~F.col("base_failed")).select(own.alias("g"), pool.alias("pool")).distinct(), "groups")
+    up = lambda df: df.select(*(F.col(c).alias(f"u_{c}") for c in df.columns))
+    everything = up(found.where(F.col("g") == ALL))
+    languages = found.where(F.col("g").endswith("\x1eall")).crossJoin(F.broadcast(everything)).mapInPandas(_blended(held), ESTIMATE)  # one row on the right
+    languages = stored(languages, "languages")
+    sources = found.join(named, "g").join(up(languages), F.col("pool") == F.col("u_g")).drop("pool")
+    by_own = stored(sources.mapInPandas(_blended(held), ESTIMATE).drop("start", "n", "log_det", *(f"s{i}_{j}" for i, j in PAIRS)), "verdicts")
+    n_named = by_own.count()
+    drop_stored(vectors, found, named, languages)
 
     keyed = rows.withColumn("g", own)
     judged_rows = keyed.join(F.broadcast(by_own), "g", "left") if n_named <= max_groups else _left_salted(keyed, by_own)

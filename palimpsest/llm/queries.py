@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, common
+from palimpsest.llm import bpe, common, oracles
 from palimpsest.llm.chat import format_chats
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.main_text import extract
@@ -45,6 +45,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(common.read(spark, sf_dir, "conversations"))
 
@@ -74,8 +79,14 @@ QUERIES = {
         op8_near_dedup,
         op9_quality_classifier,
         op10_bpe,
+        base_quality_rules,
     )
 }
 
-#: SQL can express none of them: tests/llm compares each with a brute-force version.
-ORACLE_SQL: dict[str, str] = {}
+#: Of the others, tests/llm compares each with a brute-force version or a library.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": oracles.OP3,
+    "op4_substring_dedup": oracles.OP4,
+    "op8_near_dedup": oracles.OP8,
+    "base_quality_rules": oracles.BASE_RULES,
+}

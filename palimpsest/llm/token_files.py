@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import documents, drop_stored, shared_dir, slices, stored
+from palimpsest.llm.common import documents, drop_stored, few, shared_dir, slices, stored
 
 MAX_BITS, EVERY, BLOCK = 18, 256, 262_144
 #: White space as the tokenizers library takes it.
@@ -234,49 +234,44 @@ class Code:
 
 
 U64, HALF, LOW = np.uint64(64), np.uint64(32), np.uint64(2**32 - 1)
-CODED = "doc_id long, tie long, n long, payload binary, marks array<int>"
 BLOCKS = "shard int, block int, first long, doc_ids array<long>, sizes array<int>, octets array<int>, marks array<int>, payload binary"
 
 
-def _code(code, dtype: str):
+def _pack(code, dtype: str):
+    """Documents of one shard, in order, coded and packed into blocks of at least ``BLOCK`` ids."""
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.list_(pa.int32())) for c in ("sizes", "octets", "marks")), ("payload", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         own: Code = code.value
+        shard, block, first = TaskContext.get().partitionId(), 0, 0
+        docs, sizes, marks, payload, held = [], [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            whole = {"shard": shard, "block": block, "first": first, "doc_ids": docs, "sizes": sizes, "octets": [len(p) for p in payload], "marks": marks, "payload": b"".join(payload)}
+            return pa.RecordBatch.from_pylist([whole], schema)
+
         for part in slices(batches, "ids", 400_000):
             raw = part.column("ids").to_pylist()
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(dtype).itemsize
-            payload, marks = own.encode(np.frombuffer(b"".join(raw), dtype), sizes)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "tie": part.column("tie"), "n": pa.array(sizes), "payload": pa.array(payload, pa.binary()), "marks": pa.array(marks, pa.list_(pa.int32()))})
+            counts = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(dtype).itemsize
+            coded, places = own.encode(np.frombuffer(b"".join(raw), dtype), counts)
+            for doc_id, n, data, places_of in zip(part.column("doc_id").to_pylist(), counts.tolist(), coded, places, strict=True):
+                docs.append(doc_id)
+                sizes.append(n)
+                marks += places_of
+                payload.append(data)
+                held += n
+                if held >= BLOCK:
+                    yield row()
+                    block, first = block + 1, first + held
+                    docs, sizes, marks, payload, held = [], [], [], [], 0
+        if docs:
+            yield row()
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of one shard, in order, packed into blocks of at least ``BLOCK`` ids."""
-    from pyspark import TaskContext
-
-    shard, block, first = TaskContext.get().partitionId(), 0, 0
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.list_(pa.int32())) for c in ("sizes", "octets", "marks")), ("payload", pa.binary())])
-    docs, sizes, marks, payload, held = [], [], [], [], 0
-
-    def row() -> pa.RecordBatch:
-        whole = {"shard": shard, "block": block, "first": first, "doc_ids": docs, "sizes": sizes, "octets": [len(p) for p in payload], "marks": marks, "payload": b"".join(payload)}
-        return pa.RecordBatch.from_pylist([whole], schema)
-
-    for batch in batches:
-        for doc_id, n, data, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "payload", "marks")), strict=True):
-            docs.append(doc_id)
-            sizes.append(n)
-            marks += own
-            payload.append(data)
-            held += n
-            if held >= BLOCK:
-                yield row()
-                block, first = block + 1, first + held
-                docs, sizes, marks, payload, held = [], [], [], [], 0
-    if docs:
-        yield row()
-
-
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shard_ids: int = 8_000_000) -> DataFrame:
     """Writes the files under ``path``; returns the code book (id, bits), which is written beside them.
 
@@ -293,12 +288,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     code = spark.sparkContext.broadcast(Code(ids, lengths))
 
     shards = max(1, round(int(n.sum()) / shard_ids))
-    cuts = [k / shards for k in range(1, shards)]
-    bounds = tokens.agg(F.percentile_approx("doc_id", cuts, 20 * shards)).first()[0] if cuts else []
-    shard = F.size(F.filter(F.lit(sorted(set(bounds or []))), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    coded = tokens.mapInArrow(_code(code, dtype), CODED).withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int"))
-    coded = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "tie")
-    coded.drop("shard").mapInArrow(_pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    # The last key splits rows that are equal in all others, whose order is of no account.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.monotonically_increasing_id()]
+    dealt = tokens.repartitionByRange(shards, *order).sortWithinPartitions(*order[:2])
+    dealt.select("doc_id", "ids").mapInArrow(_pack(code, dtype), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_stored(tokens)
     book = spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist(), strict=True)), "id long, bits int")
     book.write.parquet(f"{path}/book")
@@ -335,16 +328,19 @@ def _decode(code):
     return run
 
 
-def read_token_files(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids, read from the files under ``path``."""
+def read_token_files(spark, path: str, max_broadcast: int = 500_000) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids, read from the files under ``path``.
+
+    Up to ``max_broadcast`` shards, their places are broadcast; more are joined.
+    """
     book = spark.read.parquet(f"{path}/book").toPandas()
     code = spark.sparkContext.broadcast(Code(book["id"].to_numpy(np.int64), book["bits"].to_numpy(np.int64)))
     blocks = spark.read.parquet(f"{path}/blocks")
-    # One row a shard: a window over them all is small.
+    # One row a shard, so a window over them all is small.
     totals = blocks.select("shard", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     bases = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("base"))
     found = blocks.mapInArrow(_decode(code), "shard int, doc_id long, local long, n_tokens long, ids binary")
-    return found.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+    return found.join(few(bases, max_broadcast), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

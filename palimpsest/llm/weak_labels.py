@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -45,28 +46,36 @@ def _vote(value: float, bad: float, good: float) -> int:
     return BAD if value >= bad else GOOD if value <= good else NONE
 
 
-def quality_votes(c: dict[str, int], distinct: int) -> list[int]:
+def quality_votes(c: dict[str, int], distinct: int, marked: int) -> list[int]:
+    """Eight labellers; each way of being bad shows in two of them or more. ``marked``: words with a symbol in them."""
     n = max(1, c["n_words"])
     return [
         _vote(c["n_symbols"] / n, 0.15, 0.03),
+        _vote(marked / n, 0.15, 0.03),
         _vote(c["n_repeat_words"] / n, 0.20, 0.05),
+        _vote(-distinct / n, -0.55, -0.70) if 10 <= n < 200 else _vote(-distinct / n, -0.20, -0.35),
         _vote(c["n_upper"] / max(1, c["word_chars"]), 0.30, 0.10),
+        _vote(c["n_marks"] / n, 0.80, 0.40),
         _vote(c["n_dup_lines"] / max(1, c["n_lines"]), 0.30, 0.10),
-        _vote(-distinct / n, -0.55, -0.70) if 10 <= n < 200 else NONE,
         _vote(abs(np.log(max(1, c["word_chars"]) / n / 5.5)), 0.5, 0.3),
     ]
 
 
 def toxic_votes(words: list[str], beginnings: frozenset[str] = frozenset()) -> list[int]:
+    """Five labellers: three word lists, and the learned beginnings, dealt to two by their hash."""
     counts = Counter(words)
     persons, qualities, things, english = (sum(map(counts.__getitem__, own)) for own in (PERSONS, QUALITIES, THINGS, ENGLISH))
     heads = heads_of(beginnings)
-    learned = sum(any(w[:k] in beginnings for k in LENGTHS) for w in counts if w[:4] in heads)
-    share = (persons + qualities + things) / max(1, len(words))
     # English lists tell nothing of a text in another language that has none of their words.
     clean = GOOD if 25 * english >= len(words) else NONE
-    votes = [_vote(persons, 1, 0), _vote(qualities, 1, 0), _vote(things, 1, 0), _vote(share, 0.01, 0.0005)]
-    return [clean if v == GOOD else v for v in votes] + [_vote(learned, 1, 0)]
+    votes = [BAD if n else clean for n in (persons, qualities, things)]
+    learned = [0, 0]
+    for w in counts:
+        if w[:4] in heads:
+            for k in LENGTHS:
+                if w[:k] in beginnings:
+                    learned[crc32(w[:4].encode()) % 2] = 1
+    return votes + [BAD if x else GOOD if beginnings else NONE for x in learned]
 
 
 @lru_cache(maxsize=4)
@@ -74,7 +83,8 @@ def heads_of(beginnings: frozenset[str]) -> frozenset[str]:
     return frozenset(b[:4] for b in beginnings)
 
 
-TASKS = {"quality": 6, "toxic": 5}
+TASKS = {"quality": 8, "toxic": 5}
+MARKED = re.compile("[^\\x20\\x09-\\x0d]*[#*$%&|<>][^\\x20\\x09-\\x0d]*")
 VOTES = "doc_id long, tie long, quality int, toxic int, " + ", ".join(f"{c} long" for c in COUNTS) + ", distinct long"
 
 
@@ -102,7 +112,9 @@ def _votes(batches: Iterator[pa.RecordBatch], beginnings: frozenset[str] = froze
         for text in part.column("text").to_pylist():
             own = text_counts(text)
             distinct = len(set((text or "").split()))
-            quality.append(_pattern(quality_votes(dict(zip(COUNTS, own, strict=True)), distinct)))
+            named = dict(zip(COUNTS, own, strict=True))
+            marked = len(MARKED.findall(text)) if named["n_symbols"] else 0
+            quality.append(_pattern(quality_votes(named, distinct, marked)))
             toxic.append(_pattern(toxic_votes(LETTERS.findall((text or "").lower()), beginnings)))
             counts.append((*own, distinct))
         columns = {c: pa.array([x[k] for x in counts], pa.int64()) for k, c in enumerate((*COUNTS, "distinct"))}
@@ -112,31 +124,31 @@ def _votes(batches: Iterator[pa.RecordBatch], beginnings: frozenset[str] = froze
 class WeakLabels:
     """Dawid and Skene's model of labellers with votes bad, good and none, fitted to counts of patterns.
 
-    Good and bad documents differ in how often a labeller that votes calls
-    them bad; its silence tells nothing.
-
-    ``false_alarm`` is what is held, firmly, of a labeller before any vote is
-    seen: so rarely does it call a good document bad. Else documents that are
-    bad in one labeller's way alone would pass for good ones.
+    Of the documents and of every labeller three things are estimated by
+    expectation-maximisation until they stay: how many are bad, how often a
+    vote on a bad document calls it bad, and how often one on a good document
+    does; a labeller's silence tells nothing. The two rates have weak priors,
+    which ``held`` documents' worth of votes outweigh: half of the bad are
+    found, and one of fifty good ones called bad.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 100, false_alarm: float = 0.002):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 1000, held: float = 20.0):
         self.labellers = labellers
         votes = patterns[:, None] // 3 ** np.arange(labellers) % 3
         weight = counts.astype(float)
-        # From the majority of the votes given, with an eye to the rarity of bad ones.
-        bad, good = (votes == BAD).sum(axis=1), (votes == GOOD).sum(axis=1)
-        posterior = np.where(bad > 0, 0.9, 0.01)
-        firm = 10 * max(weight.sum(), 1)
+        calls = (votes == BAD).sum(axis=1)
+        posterior = np.where(calls > 1, 0.95, np.where(calls == 1, 0.5, 0.01))
+        self.prior, self.table = 0.0, np.zeros((labellers, 2, 2))
+        called, given = (votes == BAD).astype(float), (votes != NONE).astype(float)
         for _ in range(rounds):
+            before = self.prior, self.table
             self.prior = float(np.clip((weight * posterior).sum() / max(weight.sum(), 1), 1e-6, 0.5))
-            self.table = np.empty((labellers, 2, 2))
-            for k in range(labellers):
-                calls, given = weight * (votes[:, k] == BAD), weight * (votes[:, k] != NONE)
-                bad = ((calls * posterior).sum() + 1) / ((given * posterior).sum() + 2)
-                good = ((calls * (1 - posterior)).sum() + firm * false_alarm) / ((given * (1 - posterior)).sum() + firm)
-                self.table[k] = [[1 - good, good], [1 - bad, bad]]
+            bad = ((weight * posterior) @ called + 0.5 * held) / ((weight * posterior) @ given + held)
+            good = ((weight * (1 - posterior)) @ called + 0.02 * held) / ((weight * (1 - posterior)) @ given + held)
+            self.table = np.stack([np.stack([1 - good, good], axis=1), np.stack([1 - bad, bad], axis=1)], axis=1)
             posterior = self._posterior(votes)
+            if abs(self.prior - before[0]) + np.abs(self.table - before[1]).max() < 1e-9:
+                break
 
     def _posterior(self, votes: np.ndarray) -> np.ndarray:
         odds = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
@@ -153,8 +165,8 @@ class WeakLabels:
         return right / (right + self.prior * self.table[:, 1, GOOD] + (1 - self.prior) * self.table[:, 0, BAD])
 
 
-def features(texts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hashed feature and value: words, their beginnings and ends as shares of the text, and ranges of its statistics."""
+def features(texts: pa.Array, counts: np.ndarray, patterns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hashed feature and value: words, their beginnings and ends as shares of the text, ranges of its statistics, and the labellers' votes."""
     words = find_words(texts, space_class())
     share = 1 / np.maximum(words.counts(), 1)
     low, raw = lowered(byte_values(21)), byte_values(22)
@@ -177,9 +189,19 @@ def features(texts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         rows.append(np.arange(len(n)))
         columns.append(mix(ranges[:, k] + np.uint64(1000 * (k + 1))) & np.uint64(DIMENSIONS - 1))
         values.append(np.ones(len(n)))
+    for t, (task, labellers) in enumerate(TASKS.items()):
+        votes = patterns[task][:, None] // 3 ** np.arange(labellers) % 3
+        row, k = np.nonzero(votes != NONE)
+        rows.append(row)
+        columns.append(mix((votes[row, k] + 2 * k + 100 * t).astype(np.uint64) + np.uint64(10**9)) & np.uint64(DIMENSIONS - 1))
+        values.append(np.ones(len(row)))
     return np.concatenate(rows), np.concatenate(columns).astype(np.int64), np.concatenate(values)
 
 
+def _patterns(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {task: part.column(task).to_numpy().astype(np.int64) for task in TASKS}
+
+
 STATISTICS = [*COUNTS, "distinct"]
 
 
@@ -189,7 +211,7 @@ def _matrix(part: pa.RecordBatch) -> np.ndarray:
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", 2_000_000):
-        rows, columns, values = features(part.column("text"), _matrix(part))
+        rows, columns, values = features(part.column("text"), _matrix(part), _patterns(part))
         key = rows * DIMENSIONS + columns
         seen, back = np.unique(key, return_inverse=True)
         total = np.bincount(back, values)
@@ -219,7 +241,7 @@ def train(columns: np.ndarray, values: np.ndarray, offsets: np.ndarray, labels:
 def _score(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4_000_000):
-            rows, columns, values = features(part.column("text"), _matrix(part))
+            rows, columns, values = features(part.column("text"), _matrix(part), _patterns(part))
             out = {"doc_id": part.column("doc_id")}
             for task, (label, w, b) in models.value.items():
                 score = np.bincount(rows, values * w[columns], minlength=part.num_rows) + b
@@ -230,7 +252,7 @@ def _score(models):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 1500, threshold: float = 0.85) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 1500, threshold: float = 0.5) -> DataFrame:
     """doc_id, and for each task the posterior of its labellers and the scorer's probability; low_quality, toxic, kept.
 
     The scorer learns from at most ``sample`` documents with a posterior of at
@@ -269,8 +291,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 150
         models[task] = (label, w, b)
     found = voted_text.mapInArrow(_score(spark.sparkContext.broadcast(models)), "doc_id long, quality_posterior double, quality_score double, toxic_posterior double, toxic_score double")
     return (
-        found.withColumn("low_quality", (F.col("quality_score") >= threshold) | (F.col("quality_posterior") >= 0.9))
-        .withColumn("toxic", (F.col("toxic_score") >= threshold) | (F.col("toxic_posterior") >= 0.9))
+        found.withColumn("low_quality", F.col("quality_score") >= threshold)
+        .withColumn("toxic", F.col("toxic_score") >= threshold)
         .withColumn("kept", ~F.col("low_quality") & ~F.col("toxic"))
     )
 
