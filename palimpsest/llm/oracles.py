@@ -29,8 +29,8 @@ select d.doc_id, cast(n as bigint) n_bytes, coalesce(n_removed, 0) n_removed, co
 OP8 = f"""with recursive d as (select doc_id, regexp_extract_all({LOWER}, {SPACED}) w from documents),
 sh as (select distinct doc_id, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) x from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) i from d where len(w) > 0)),
 sizes as (select doc_id, count(*) n from sh group by doc_id),
-pairs as (select p.doc_id a, q.doc_id b, count(*) both from sh p join sh q on p.x = q.x and p.doc_id < q.doc_id group by p.doc_id, q.doc_id),
-links as (select a, b from pairs join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * both >= 75 * (s.n + t.n - both)),
+pairs as (select p.doc_id a, q.doc_id b, count(*) shared from sh p join sh q on p.x = q.x and p.doc_id < q.doc_id group by p.doc_id, q.doc_id),
+links as (select a, b from pairs join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * shared >= 75 * (s.n + t.n - shared)),
 both_ways as (select a, b from links union all select b, a from links),
 reach as (select doc_id a, doc_id b from d union select reach.a, both_ways.b from reach join both_ways on both_ways.a = reach.b),
 names as (select a doc_id, min(b) component_id from reach group by a)

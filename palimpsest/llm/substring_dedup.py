@@ -149,13 +149,13 @@ def repeats(spans: np.ndarray, weight: np.ndarray, contexts: list[bytes], length
         inside = start < spans[own[live]]
         row, start = live[inside], start[inside]
         seen[own[row], start] = True
-        if len(row) > 1:
+        if len(row):
             interval = np.r_[0, np.cumsum(common < length - r)][row].astype(np.uint64)
             again = _twice(mix(before[row] ^ mix(interval + U(1))), weight[own[row]])
             found[own[row[again]], start[again]] = True
     # Strings without a phrase's start, as in runs of one character.
     c, start = np.nonzero(~seen & (np.arange(seen.shape[1]) < spans[:, None]))
-    if len(c) > 1:
+    if len(c):
         again = _twice(Sums(data, 14).hash(begins[c] + start, begins[c] + start + length), weight[c])
         found[c[again], start[again]] = True
     return found

@@ -259,7 +259,7 @@ def _pack(code, dtype: str):
             for doc_id, n, data, places_of in zip(part.column("doc_id").to_pylist(), counts.tolist(), coded, places, strict=True):
                 docs.append(doc_id)
                 sizes.append(n)
-                marks += places_of
+                marks.extend(places_of.tolist())
                 payload.append(data)
                 held += n
                 if held >= BLOCK:

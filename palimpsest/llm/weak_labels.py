@@ -19,7 +19,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -61,26 +60,25 @@ def quality_votes(c: dict[str, int], distinct: int, marked: int) -> list[int]:
     ]
 
 
-def toxic_votes(words: list[str], beginnings: frozenset[str] = frozenset()) -> list[int]:
-    """Five labellers: three word lists, and the learned beginnings, dealt to two by their hash."""
+Beginnings = tuple[frozenset[str], frozenset[str]]
+UNLEARNED: Beginnings = (frozenset(), frozenset())
+
+
+def toxic_votes(words: list[str], learned: Beginnings = UNLEARNED) -> list[int]:
+    """Five labellers: three word lists, and beginnings learned from each half of the given labels."""
     counts = Counter(words)
     persons, qualities, things, english = (sum(map(counts.__getitem__, own)) for own in (PERSONS, QUALITIES, THINGS, ENGLISH))
-    heads = heads_of(beginnings)
     # English lists tell nothing of a text in another language that has none of their words.
     clean = GOOD if 25 * english >= len(words) else NONE
     votes = [BAD if n else clean for n in (persons, qualities, things)]
-    learned = [0, 0]
-    for w in counts:
-        if w[:4] in heads:
-            for k in LENGTHS:
-                if w[:k] in beginnings:
-                    learned[crc32(w[:4].encode()) % 2] = 1
-    return votes + [BAD if x else GOOD if beginnings else NONE for x in learned]
+    heads = heads_of(learned)
+    told = [w for w in counts if w[:4] in heads]
+    return votes + [NONE if not own else BAD if any(w[:k] in own for w in told for k in LENGTHS) else GOOD for own in learned]
 
 
 @lru_cache(maxsize=4)
-def heads_of(beginnings: frozenset[str]) -> frozenset[str]:
-    return frozenset(b[:4] for b in beginnings)
+def heads_of(learned: Beginnings) -> frozenset[str]:
+    return frozenset(b[:4] for own in learned for b in own)
 
 
 TASKS = {"quality": 8, "toxic": 5}
@@ -92,21 +90,23 @@ def _pattern(votes: list[int]) -> int:
     return sum(v * 3**k for k, v in enumerate(votes))
 
 
-def telling_beginnings(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 400) -> frozenset[str]:
-    """Beginnings of words, of ``LENGTHS`` letters, that documents labelled toxic have and others don't.
+def telling_beginnings(docs: DataFrame, labels: DataFrame, sample: int = 4000, most: int = 400) -> Beginnings:
+    """Beginnings of words, of ``LENGTHS`` letters, that documents labelled toxic have and others don't, from each half of the labels.
 
-    From at most ``sample`` labelled documents, those of the least hashes; at
-    most ``most`` beginnings, the commonest first.
+    From at most ``sample`` labelled documents, those of the least hashes,
+    dealt to halves by another hash; at most ``most`` beginnings of each half,
+    the commonest first.
     """
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
     told = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    words = documents(docs).join(F.broadcast(told), "doc_id").select("bad", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"), "doc_id")
-    begun = words.where(F.char_length("word") >= 4).select("doc_id", "bad", F.explode(F.array(*(F.substring("word", 1, k) for k in LENGTHS))).alias("start")).distinct()
-    counts = begun.groupBy("start").agg(F.count_if("bad").alias("yes"), F.count_if(~F.col("bad")).alias("no"))
-    found = counts.where("yes >= 5 and yes >= 15 * no").orderBy(F.desc("yes"), "start").limit(most).collect()
-    return frozenset(r["start"] for r in found)
+    words = documents(docs).join(F.broadcast(told), "doc_id").select("bad", half, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"), "doc_id")
+    begun = words.where(F.char_length("word") >= 4).select("doc_id", "half", "bad", F.explode(F.array(*(F.substring("word", 1, k) for k in LENGTHS))).alias("start")).distinct()
+    counts = begun.groupBy("half", "start").agg(F.count_if("bad").alias("yes"), F.count_if(~F.col("bad")).alias("no")).where("yes >= 5 and yes >= 15 * no")
+    found = [counts.where(F.col("half") == k).orderBy(F.desc("yes"), "start").limit(most).collect() for k in (0, 1)]
+    return tuple(frozenset(r["start"] for r in own) for own in found)
 
 
-def _votes(batches: Iterator[pa.RecordBatch], beginnings: frozenset[str] = frozenset()) -> Iterator[pa.RecordBatch]:
+def _votes(batches: Iterator[pa.RecordBatch], learned: Beginnings = UNLEARNED) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", 4_000_000):
         quality, toxic, counts = [], [], []
         for text in part.column("text").to_pylist():
@@ -115,7 +115,7 @@ def _votes(batches: Iterator[pa.RecordBatch], beginnings: frozenset[str] = froze
             named = dict(zip(COUNTS, own, strict=True))
             marked = len(MARKED.findall(text)) if named["n_symbols"] else 0
             quality.append(_pattern(quality_votes(named, distinct, marked)))
-            toxic.append(_pattern(toxic_votes(LETTERS.findall((text or "").lower()), beginnings)))
+            toxic.append(_pattern(toxic_votes(LETTERS.findall((text or "").lower()), learned)))
             counts.append((*own, distinct))
         columns = {c: pa.array([x[k] for x in counts], pa.int64()) for k, c in enumerate((*COUNTS, "distinct"))}
         yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "tie": part.column("tie"), "quality": pa.array(quality, pa.int32()), "toxic": pa.array(toxic, pa.int32())} | columns)
@@ -252,17 +252,17 @@ def _score(models):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 1500, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 1500, threshold: float = 0.85, toxic_threshold: float = 0.5) -> DataFrame:
     """doc_id, and for each task the posterior of its labellers and the scorer's probability; low_quality, toxic, kept.
 
     The scorer learns from at most ``sample`` documents with a posterior of at
     least one half and as many with a lower one, per task, those of the least
     hashes, rows that repeat doc_id and text once; everything else covers all
-    rows. ``labels`` (doc_id, toxic) give one labeller more: see
+    rows. ``labels`` (doc_id, toxic) give two labellers more: see
     ``telling_beginnings``.
     """
-    beginnings = telling_beginnings(docs, labels) if labels is not None else frozenset()
-    votes_and_text = partial(_votes_with_text, beginnings=beginnings)
+    learned = telling_beginnings(docs, labels) if labels is not None else UNLEARNED
+    votes_and_text = partial(_votes_with_text, learned=learned)
     rows = documents(docs).withColumn("tie", F.xxhash64("doc_id", "text"))
     spark = docs.sparkSession
     voted_text = stored(rows.mapInArrow(votes_and_text, VOTES + ", text string"), "votes")  # votes are cast once
@@ -292,12 +292,12 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = 150
     found = voted_text.mapInArrow(_score(spark.sparkContext.broadcast(models)), "doc_id long, quality_posterior double, quality_score double, toxic_posterior double, toxic_score double")
     return (
         found.withColumn("low_quality", F.col("quality_score") >= threshold)
-        .withColumn("toxic", F.col("toxic_score") >= threshold)
+        .withColumn("toxic", F.col("toxic_score") >= toxic_threshold)
         .withColumn("kept", ~F.col("low_quality") & ~F.col("toxic"))
     )
 
 
-def _votes_with_text(batches: Iterator[pa.RecordBatch], beginnings: frozenset[str] = frozenset()) -> Iterator[pa.RecordBatch]:
+def _votes_with_text(batches: Iterator[pa.RecordBatch], learned: Beginnings = UNLEARNED) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", 4_000_000):
-        for voted in _votes(iter([part]), beginnings):
+        for voted in _votes(iter([part]), learned):
             yield pa.RecordBatch.from_arrays([*voted.columns, part.column("text")], [*voted.schema.names, "text"])
