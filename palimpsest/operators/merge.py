@@ -8,6 +8,7 @@ both sides; the model changed; otherwise the strategy of the model decides.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,38 @@ class Strategy:
         return out
 
 
+@dataclass(frozen=True)
+class Resolver(Strategy):
+    """A strategy of the user's: ``decide`` gets a column's name and its base, ours and theirs, and returns value and conflict.
+
+    It is asked for rows that both sides changed; a conflict in any column
+    leaves the row as ours has it.
+    """
+
+    decide: Callable[[str, Column, Column, Column], tuple[Column, Column]] | None = None
+
+    def _asked(self, column: str) -> tuple[Column, Column]:
+        b, o, t = F.col(f"b_{column}"), F.col(f"o_{column}"), F.col(f"t_{column}")
+        value, conflict = self.decide(column, b, o, t)
+        both = ~o.eqNullSafe(b) & ~t.eqNullSafe(b) & ~o.eqNullSafe(t)
+        return F.when(both, value).when(o.eqNullSafe(b), t).otherwise(o), both & F.coalesce(conflict, F.lit(False))
+
+    def merged(self, column: str) -> Column:
+        return self._asked(column)[0]
+
+    def disagrees(self, columns: list[str]) -> Column:
+        out = F.lit(False)
+        for c in columns:
+            out = out | self._asked(c)[1]
+        return out
+
+
+def record_faults(conflicts: DataFrame, most: int = 10_000, location: int = 4096, reason: int = 1024) -> DataFrame:
+    """Keys whose conflicts (key, location, reason) can't be recorded: too many, or a location or reason of too many bytes."""
+    sizes = conflicts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("location")).cast("long").alias("location"), F.max(F.octet_length("reason")).cast("long").alias("reason"))
+    return sizes.where((F.col("n") > most) | (F.col("location") > location) | (F.col("reason") > reason))
+
+
 OPAQUE, PER_CELL = Strategy(), Strategy(cells=True)
 
 

@@ -48,6 +48,13 @@ def gc_states(packs: DataFrame, condemned: DataFrame, now: int, grace: int) -> D
     return packs.join(condemned.select("pack", "condemned_at"), "pack", "left").select("pack", "live_n", state.alias("state"))
 
 
+def round_report(states: DataFrame, copied: DataFrame) -> DataFrame:
+    """One row of what a collection does, from ``gc_states`` and the chunks (hash, bytes) that it copies."""
+    count = lambda name: F.count_if(F.col("state") == name).alias(name)
+    moved = copied.agg(F.count("*").alias("copied"), F.coalesce(F.sum("bytes"), F.lit(0).cast("long")).alias("copied_bytes"))
+    return states.agg(F.count("*").alias("packs"), *map(count, ("keep", "condemn", "reprieve", "wait", "expire"))).crossJoin(moved)  # of one row each
+
+
 def orphans(objects: DataFrame, named: DataFrame, recorded: DataFrame, now: int, grace: int) -> DataFrame:
     """Objects older than the grace period that no manifest names and whose deletion is not recorded yet."""
     old = objects.where(F.lit(now) - F.col("modified") >= grace)

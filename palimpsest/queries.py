@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import codec, grammar, hashing
 from palimpsest.operators import diff as d
-from palimpsest.operators import history, merge, segment, store
+from palimpsest.operators import history, merge, objects, segment, store
 from palimpsest.sources.tables import table
 
 VALUES = ["m", "s", "c"]
@@ -595,3 +595,118 @@ def gc3_copied_chunks(spark, sf):
     chosen = store.repack(store.liveness(entries(spark, sf), live(spark, sf)), 200_000).select("pack")
     credited = store.first_locations(entries(spark, sf), condemned(spark, sf)).select("hash", "pack")
     return credited.join(chosen, "pack", "left_semi").join(live(spark, sf), "hash", "left_semi").select("hash", "pack")
+
+
+# Namespaces: an object for each order; its lines are its entries.
+
+OBJECTS_SQL = """reg as (select * from (values (1, 'blob', true, false), (2, 'tree', true, false), (3, 'counter', false, true)) v(model, name, walkable, accumulates)),
+obj as (select case when o_orderkey % 17 = 0 then concat('a//', o_orderkey) else concat(lower(substr(o_orderpriority, 3)), '/', o_orderkey) end "path", cast(o_orderkey % 4 as bigint) model, case when o_orderkey % 11 = 0 then 2 else 1 end "format",
+  case when o_orderkey % 13 = 0 then 1 else 0 end flags, case when o_orderkey % 7 = 0 then 1 else 0 end "depth", o_orderkey % 8 size, sha256(cast(o_orderkey as varchar)) root, o_orderkey from orders)"""
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "blob", True, False), (2, "tree", True, False), (3, "counter", False, True)], "model long, name string, walkable boolean, accumulates boolean")
+
+
+def named_objects(spark: SparkSession, sf: str) -> DataFrame:
+    path = "case when o_orderkey % 17 = 0 then concat('a//', o_orderkey) else concat(lower(substr(o_orderpriority, 3)), '/', o_orderkey) end path"
+    rows = table(spark, sf, "orders").selectExpr(path, "o_orderkey % 4 model", "case when o_orderkey % 11 = 0 then 2 else 1 end format", "case when o_orderkey % 13 = 0 then 1 else 0 end flags", "case when o_orderkey % 7 = 0 then 1 else 0 end depth", "o_orderkey % 8 size", "sha2(cast(o_orderkey as string), 256) root", "o_orderkey")
+    return rows.withColumn("ref", objects.encode_reference(*(F.col(c) for c in objects.FIELDS)))
+
+
+@query(
+    f"""with {OBJECTS_SQL}, w as (select case when o_orderkey % 5 = 0 then concat("path", 'x') else "path" end p, case when o_orderkey % 5 = 0 then null else o_orderkey end k from obj),
+    j as (select p "path", case when o_orderkey % 17 = 0 or w.p like 'a//%' then 'invalid' when k is null then 'absent' when reg.name is null then 'unknown model' else 'ok' end state, reg.name, obj.* exclude ("path") from w left join obj on o_orderkey = k left join reg on reg.model = obj.model)
+    select "path", state, name, {", ".join(f"case when state = 'ok' then cast({c} as {'varchar' if c == 'root' else 'bigint'}) end {c}" for c in ('model', '"format"', 'flags', '"depth"', 'size', 'root'))} from j"""
+)
+def s06_namespace_get(spark, sf):
+    found = named_objects(spark, sf)
+    wanted = found.select(F.when(F.col("o_orderkey") % 5 == 0, F.concat("path", F.lit("x"))).otherwise(F.col("path")).alias("path"))
+    return objects.lookup(found.select("path", "ref"), registry(spark), wanted)
+
+
+@query(f"with {OBJECTS_SQL} select \"path\", obj.model, flags, case when o_orderkey % 17 = 0 then 'path' when flags <> 0 then 'flags' else 'model' end reason from obj left join reg on reg.model = obj.model where o_orderkey % 17 = 0 or flags <> 0 or reg.model is null")
+def w06_refused_entries(spark, sf):
+    return objects.refusals(named_objects(spark, sf), registry(spark))
+
+
+@query(
+    f"""with {OBJECTS_SQL}, a as (select * from obj where o_orderkey % 17 <> 0 and o_orderkey % 3 <> 0), b as (select "path", model, "format", flags, "depth", case when o_orderkey % 10 = 0 then size + 1 else size end size, root, o_orderkey from obj where o_orderkey % 17 <> 0 and o_orderkey % 5 <> 1)
+    select case when a.root is null then 1 when b.root is null then 2 else 3 end kind, coalesce(a."path", b."path") "key", {", ".join(f'cast({s}.{c} as {t}) {p}_{n}' for n, c, t in (('model', 'model', 'bigint'), ('format', '"format"', 'bigint'), ('flags', 'flags', 'bigint'), ('depth', '"depth"', 'bigint'), ('size', 'size', 'bigint'), ('root', 'root', 'varchar')) for p, s in (('from', 'a'), ('to', 'b')))}
+    from a full join b on a.o_orderkey = b.o_orderkey where a.root is null or b.root is null or a.size <> b.size"""
+)
+def d03_namespace_diff(spark, sf):
+    found = named_objects(spark, sf).where("o_orderkey % 17 <> 0")
+    size = F.when(F.col("o_orderkey") % 10 == 0, F.col("size") + 1).otherwise(F.col("size"))
+    after = found.where("o_orderkey % 5 <> 1").withColumn("size", size).withColumn("ref", objects.encode_reference(*(F.col(c) for c in objects.FIELDS)))
+    return objects.namespace_diff(found.where("o_orderkey % 3 <> 0").select("path", "ref"), after.select("path", "ref"))
+
+
+@query(
+    f"""with {OBJECTS_SQL}, l as (select l_orderkey k, count(*) n from lineitem group by 1) select o_orderkey "object", size, coalesce(n, 0) n, case when "format" <> 1 then 'format' when "depth" <> 0 then 'depth' else 'size' end reason
+    from obj left join l on k = o_orderkey where "format" <> 1 or "depth" <> 0 or coalesce(n, 0) <> size"""
+)
+def s12_open_faults(spark, sf):
+    claims = named_objects(spark, sf).select(F.col("o_orderkey").alias("object"), "format", "depth", "size")
+    return objects.open_faults(claims, table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("object")).agg(F.count("*").alias("n")), 1)
+
+
+@query(
+    """with p as (select l_orderkey k, string_agg(l_returnflag || l_linestatus, '' order by l_linenumber, l_partkey, l_suppkey) v, 2 * count(*) n from lineitem group by 1)
+    select o_orderkey "key", case when o_orderkey % 3 = 0 then o_orderstatus when n > 10 then null else v end "value", o_orderkey % 3 <> 0 and coalesce(n > 10, false) refused from orders left join p on k = o_orderkey"""
+)
+def s05_long_values(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    sizes = lines.groupBy(F.col("l_orderkey").alias("stream")).agg((2 * F.count("*")).alias("size"))
+    values = table(spark, sf, "orders").selectExpr("o_orderkey key", "case when o_orderkey % 3 = 0 then o_orderstatus end inline", "o_orderkey stream").join(sizes, "stream", "left")
+    return objects.long_values(values, lines.select(F.col("l_orderkey").alias("stream"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"), F.concat("l_returnflag", "l_linestatus").alias("data")), 10)
+
+
+@query(
+    f"""with {OBJECTS_SQL} select o_orderkey "object", root from obj where model in (1, 2) union select l_orderkey, sha256(cast(l_partkey as varchar)) from lineitem where l_orderkey % 4 = 2"""
+)
+def g05_walk(spark, sf):
+    found = named_objects(spark, sf).where("model in (1, 2)").select(F.col("o_orderkey").alias("object"), "model", "root")
+    return objects.walk(found, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("object"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("root")), registry(spark))
+
+
+MODELS_SQL = "select p_size % 40 model, p_brand name, bool_or(p_retailprice > 1500) accumulates from part group by all"
+
+
+@query(f"with r as ({MODELS_SQL}) select model, count(*) names from r group by 1 having count(*) > 1")
+def a09_duplicate_models(spark, sf):
+    return objects.duplicate_models(table(spark, sf, "part").selectExpr("p_size % 40 model", "p_brand name"))
+
+
+@query(f"with r as ({MODELS_SQL}) select name, bool_or(accumulates) accumulates from r group by name")
+def a08_accumulates(spark, sf):
+    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg(F.bool_or(F.col("p_retailprice") > 1500).alias("accumulates"))
+
+
+@query(
+    f"""with {PACKS_SQL}, s as (select case when c.condemned_at is null then case when live_n = 0 then 'condemn' else 'keep' end when live_n > 0 then 'reprieve' when 1030 - c.condemned_at >= 20 then 'expire' else 'wait' end state from packs left join condemned c on c.pack = packs.pack)
+    select count(*) packs, {", ".join(f"count(*) filter (state = '{x}') {x}" for x in ("keep", "condemn", "reprieve", "wait", "expire"))}, (select count(*) from entries where pack % 9 = 0) copied, (select cast(coalesce(sum(bytes), 0) as bigint) from entries where pack % 9 = 0) copied_bytes from s"""
+)
+def a06_round_report(spark, sf):
+    states = store.gc_states(store.liveness(entries(spark, sf), live(spark, sf)), condemned(spark, sf), 1030, 20)
+    return store.round_report(states, entries(spark, sf).where("pack % 9 = 0"))
+
+
+def prefer_x(column, b, o, t):
+    """Statuses: an X wins, but where the base was open the two are in conflict; other columns: the greater."""
+    return (o, b == "O") if column == "s" else (F.greatest(o, t), F.lit(False))
+
+
+RESOLVER_SQL = classes_sql("alike", "o_s <> b_s and t_s <> b_s and o_s <> t_s and b_s = 'O'")
+
+
+@query(merged_sql(RESOLVER_SQL, "case when o_c = b_c then t_c when t_c = b_c or o_c > t_c then o_c else t_c end"))
+def m07_user_resolver(spark, sf):
+    strategy = merge.Resolver(decide=prefer_x)
+    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", strategy)[0]
+
+
+@query("select p_size \"key\", count(*) n, max(strlen(p_name)) \"location\", max(strlen(p_type)) reason from part group by 1 having count(*) > 4 or max(strlen(p_name)) > 60 or max(strlen(p_type)) > 30")
+def m11_record_faults(spark, sf):
+    conflicts = table(spark, sf, "part").select(F.col("p_size").alias("key"), F.col("p_name").alias("location"), F.col("p_type").alias("reason"))
+    return merge.record_faults(conflicts, 4, 60, 30)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import codec, grammar, hashing
-from palimpsest.operators import diff, history, merge, segment, store
+from palimpsest.operators import diff, history, merge, objects, segment, store
 from palimpsest.plans.catalog import Conflict, Repository, Schema
 from palimpsest.queries import ORACLE_SQL, QUERIES
 
@@ -320,3 +320,21 @@ def test_chunks_equal_those_of_a_plain_loop(spark, monkeypatch):
                 start, seq = i + 1, seq + 1
     rows = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(streams)] + [(99, None)], "stream long, data binary").coalesce(1)
     assert sorted(map(tuple, segment.chunks(rows, least=200, most=900, mask=0x7F, seed="s").collect())) == want
+
+
+def test_walks_refuse_models_that_they_do_not_know(spark):
+    registry = spark.createDataFrame([(1, "blob", True), (3, "counter", False)], "model long, name string, walkable boolean")
+    entries = spark.createDataFrame([], "object long, root string")
+    rows = lambda model: spark.createDataFrame([(1, 1, "r"), (2, model, "s")], "object long, model long, root string")
+    assert objects.walk(rows(1), entries, registry).count() == 2
+    for model in (3, 9):
+        with pytest.raises(ValueError):
+            objects.walk(rows(model), entries, registry)
+
+
+def test_references_are_46_bytes(spark):
+    fields = [258, 1, 3, 2, 2**40 + 5]
+    ref = objects.encode_reference(*(F.lit(x) for x in fields), F.lit("ab" * 32))
+    row = spark.range(1).select(ref.alias("b"), objects.decode_reference(ref).alias("r"), objects.decode_reference(F.lit(b"x")).alias("n")).first()
+    assert bytes(row["b"]) == (258).to_bytes(2, "little") + b"\1\0\3\2" + (2**40 + 5).to_bytes(8, "little") + bytes.fromhex("ab" * 32)
+    assert list(row["r"]) == [*fields, "ab" * 32] and row["n"] is None
