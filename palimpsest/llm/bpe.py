@@ -58,12 +58,37 @@ def normalized(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+#: What a vocabulary file must say for this encoder, which follows it, to be right.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def check_file(spec: dict) -> None:
+    """Refuses a file of another normalizer, pre-tokenizer, decoder, model or kind of added tokens."""
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    wrong = [
+        name
+        for name, right in (
+            ("normalizer", (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS),
+            ("pre_tokenizer", len(before) == 2 and before[0].get("pattern") == {"Regex": WORD.pattern} and before[0].get("behavior") == "Removed" and before[0].get("invert") is True and before[1] | {"trim_offsets": True} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}),
+            ("decoder", spec.get("decoder") is None),
+            ("post_processor", spec.get("post_processor") is None),
+            ("model", all(spec["model"].get(k) == v for k, v in MODEL.items())),
+            ("added_tokens", not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))),
+        )
+        if not right
+    ]
+    if wrong:
+        raise ValueError(f"a vocabulary file with another {', '.join(wrong)}: this encoder would give other ids than its library")
+
+
 class PairIndexBpe:
     """Merges of one vocabulary file, applied to many words at once."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_file(spec)
         vocab = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (1 + max([*vocab.values(), *self.added.values()]))
@@ -157,12 +182,13 @@ class Coder:
     def __init__(self, path: str):
         self.bpe = PairIndexBpe(path)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.bpe.added, key=len, reverse=True)) + ")") if self.bpe.added else None
+        self.leads = sorted({t[:2] for t in self.bpe.added})
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
 
     def special_chunks(self, text: str) -> list[str] | None:
         """The chunks of a text that holds added tokens, each of these led by a space, which begins no other; None if it holds none."""
-        if self.special is None or "<|" not in text or not self.special.search(text):
+        if self.special is None or not any(x in text for x in self.leads) or not self.special.search(text):
             return None
         out: list[str] = []
         for k, part in enumerate(self.special.split(text)):

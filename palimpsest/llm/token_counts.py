@@ -6,7 +6,8 @@ cluster and encoded with offsets, and neighbours are spliced at a boundary
 that both have and that is proven stable: no vocabulary piece holds the two
 characters beside it next to each other, so no merge ever crosses it and the
 pieces on either side can't depend on each other. The overlap widens, up to
-the text's end, until it holds such a boundary.
+the text's end, until it holds such a boundary; where the encoded chunks have
+none in common all the same, the text is encoded whole.
 
 Null and empty texts count no bytes and no tokens. Repeated rows are counted
 each. Other columns are ignored.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import documents, slices
+from palimpsest.llm.common import documents, slices, stored
 
 SPACE = "▁"
 
@@ -168,11 +169,15 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, long_chars
         counted.withColumn("next_head", F.lead("head").over(by_row))
         .withColumn("at", F.when(F.col("k") + 1 < F.col("n_chunks"), splice))
         .withColumn("from", F.lag("at").over(by_row))
-        .withColumn(
-            "n",
-            F.when((F.col("k") + 1 < F.col("n_chunks")) & F.col("at").isNull(), F.raise_error(F.lit("chunks without a common boundary")).cast("long"))
-            .otherwise(F.coalesce(F.element_at("tail", F.col("at")), F.col("tokens")) - F.coalesce(F.element_at("head", F.col("from")), F.lit(0))),
-        )
+        .withColumn("apart", (F.col("k") + 1 < F.col("n_chunks")) & F.col("at").isNull())
+        .withColumn("n", F.coalesce(F.element_at("tail", F.col("at")), F.col("tokens")) - F.coalesce(F.element_at("head", F.col("from")), F.lit(0)))
     )
-    long = spliced.groupBy("row", "doc_id", "n_bytes").agg(F.sum("n").alias("n_tokens")).drop("row")
+    # Of each long text a row; one whose chunks have no common boundary is encoded with the widest overlap, its whole length.
+    long = stored(spliced.groupBy("row", "doc_id", "n_bytes").agg(F.sum("n").alias("n_tokens"), F.bool_or("apart").alias("apart")), "long")
+    apart = long.where("apart").select("row")
+    out = long.where(~F.col("apart")).select("doc_id", "n_bytes", "n_tokens")
+    if apart.limit(1).count():
+        whole = numbered.join(apart, "row", "left_semi").select("doc_id", "n_bytes", "text")
+        out = out.unionByName(whole.mapInArrow(_encode_whole(model_path), "doc_id long, n_bytes long, n_tokens long"))
+    long = out
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -211,3 +211,40 @@ def test_suffix_array_of_phrases_and_bytes():
         symbols = rng.integers(0, 4, n).tolist()
         assert suffix.suffix_array(symbols) == sorted(range(n), key=lambda i: symbols[i:])
     assert hashlib.sha256(bytes(suffix.suffix_array([1, 0, 1, 0]))).hexdigest() == hashlib.sha256(bytes([3, 1, 2, 0])).hexdigest()
+
+
+def test_op10_refuses_files_that_it_does_not_follow(tmp_path):
+    import json
+
+    bpe.PairIndexBpe(common.tokenizer_path("word_bpe_49k.json"))
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.PairIndexBpe(common.tokenizer_path("byte_bpe_50k.json"))
+    with open(common.tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError, match="added_tokens"):
+        bpe.check_file(spec)
+
+
+def test_op5_texts_whose_chunks_share_no_boundary_are_encoded_whole(spark, monkeypatch):
+    path = common.tokenizer_path("piece_bpe_32k.model")
+    text = "some words and numbers 12345, again and again. " * 4000
+    want = len(token_counts.piece_model(path).encode(text))
+    docs = spark.createDataFrame([(1, text), (2, text + text)], "doc_id long, text string")
+    assert token_counts.token_counts(docs, path, long_chars=10_000, chunk=5000).where("doc_id = 1").first()["n_tokens"] == want
+    encode = token_counts._encode_chunks
+
+    def without_heads(path):
+        import pyarrow as pa
+
+        inner = encode(path)
+
+        def run(batches):
+            for b in inner(batches):
+                yield pa.RecordBatch.from_pylist([r | {"head": []} for r in b.to_pylist()], b.schema)
+
+        return run
+
+    monkeypatch.setattr(token_counts, "_encode_chunks", without_heads)
+    found = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path, long_chars=10_000, chunk=5000).collect()}
+    assert found == {1: want, 2: len(token_counts.piece_model(path).encode(text + text))}
