@@ -15,7 +15,11 @@ ADDED, REMOVED, MODIFIED = 1, 2, 3
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """kind, key and from_ and to_ values of every key whose row is not the same on both sides."""
+    """kind, key and from_ and to_ values of every key whose row is not the same on both sides.
+
+    Keys are unique and not null on each side, as in every stored snapshot: a
+    null key would be removed and added, and a repeated one multiply.
+    """
     a = before.select(F.col(key).alias("key"), F.lit(True).alias("in_a"), *(F.col(v).alias(f"from_{v}") for v in values))
     b = after.select(F.col(key).alias("key"), F.lit(True).alias("in_b"), *(F.col(v).alias(f"to_{v}") for v in values))
     same = F.lit(True)

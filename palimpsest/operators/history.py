@@ -23,14 +23,16 @@ def closure(commits: DataFrame, starts: DataFrame, doublings: int = 2) -> DataFr
     for _ in range(doublings):
         further = edges.select("id", F.col("parent").alias("via")).join(edges.select(F.col("id").alias("via"), "parent"), "via").select("id", "parent")
         edges = stored(edges.union(further).distinct(), "edges")
-    frontier = stored(starts.select("start", "id").distinct(), "frontier")
+    frontier, rounds = stored(starts.select("start", "id").distinct(), "frontier"), 0
     seen = frontier
     while True:
         reached = frontier.join(edges, "id").select("start", F.col("parent").alias("id")).distinct()
         frontier = stored(reached.join(seen, ["start", "id"], "left_anti"), "frontier")
         if not frontier.limit(1).count():
             return seen.join(commits.select("id", "height"), "id").select("start", "id", "height")
-        seen = seen.union(frontier)
+        seen, rounds = seen.union(frontier), rounds + 1
+        if rounds % 8 == 0:
+            seen = stored(seen, "seen")
 
 
 def log(reached: DataFrame, limit: int) -> DataFrame:

@@ -95,9 +95,11 @@ def compaction_tiers(indexes: DataFrame) -> DataFrame:
 
 
 def offsets(chunks: DataFrame) -> DataFrame:
-    """Start and end of each chunk in its stream."""
-    by = Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return chunks.withColumn("end", F.sum("bytes").over(by)).withColumn("start", F.col("end") - F.col("bytes"))
+    """Start and end of each chunk in its stream; a stream of any length is spread over tasks."""
+    placed = running_sum(chunks, [F.col("stream"), F.col("seq")], "bytes", "_before")
+    first = placed.groupBy("stream").agg(F.min("_before").alias("_first"))
+    start = (F.col("_before") - F.col("_first")).cast("long")
+    return placed.join(first.hint("merge"), "stream").select(*chunks.columns, start.alias("start"), (start + F.col("bytes")).alias("end"))
 
 
 def read_at(chunks: DataFrame, reads: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import codec, grammar, hashing
 from palimpsest.operators import diff as d
 from palimpsest.operators import history, merge, objects, segment, store
+from palimpsest.plans.snapshots import Schema, Snapshots
+from palimpsest.plans.storage import shared_dir
 from palimpsest.sources.tables import table
 
 VALUES = ["m", "s", "c"]
@@ -117,6 +119,16 @@ def d02_pruned_diff(spark, sf):
     return d.pruned_diff(base(spark, sf), late, "k", VALUES, 256)
 
 
+@query(f"with {VERSIONS}, late as (select k, m, s, c + case when k // 1024 % 8 = 1 then 1 else 0 end c from base) {DIFF.format(side='late')}")
+def w02_incremental_snapshot(spark, sf):
+    """A stored snapshot, edits that rewrite every eighth of its segments, and the diff that reads these alone."""
+    rows = base(spark, sf)
+    snapshots = Snapshots(spark, shared_dir(spark, "snapshots"), Schema("k", tuple(VALUES), "m", width=1024))
+    edits = rows.where("k div 1024 % 8 = 1").select(F.lit("put").alias("op"), "k", "m", "s", (F.col("c") + 1).alias("c"))
+    first = snapshots.write(rows)
+    return snapshots.diff(first, snapshots.apply(first, edits, rows.schema), rows.schema)
+
+
 @query(
     f"with {VERSIONS}, x as ({DIFF.format(side='theirs')}) select \"key\", 'm' \"column\", cast(from_m as varchar) before, cast(to_m as varchar) \"after\" from x where kind = 3 and from_m <> to_m"
     " union all select \"key\", 's', from_s, to_s from x where kind = 3 and from_s <> to_s union all select \"key\", 'c', cast(from_c as varchar), cast(to_c as varchar) from x where kind = 3 and from_c <> to_c"
