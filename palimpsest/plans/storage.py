@@ -26,10 +26,10 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/palimpsest/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as Parquet and read again: lineage ends, and a lost executor costs no more than its task."""
     path = shared_dir(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
