@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import documents, drop_stored, few, shared_dir, slices, stored
+from palimpsest.llm.textbytes import column_bytes
 
 MAX_BITS, EVERY, BLOCK = 18, 256, 262_144
 #: White space as the tokenizers library takes it.
@@ -76,7 +77,7 @@ class PieceCoder:
         # Pieces led by a space keep their ids in a row of others: each begins with the one token that opens with it.
         for at in range(0, len(led), 4000):
             part = led[at : at + 4000]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             begins = np.flatnonzero(self.opens[ids])
             if len(begins) == len(part):
                 data, step = ids.tobytes(), self.dtype.itemsize
@@ -119,8 +120,7 @@ def _counts(dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype)
-            own = np.bincount(ids, minlength=len(total))
+            own = np.bincount(column_bytes(batch.column("ids"))[0].view(dtype), minlength=len(total))
             own[: len(total)] += total
             total = own
         seen = np.flatnonzero(total)
@@ -203,19 +203,19 @@ class Code:
         out[word[heads]] += np.add.reduceat(code >> HALF, heads)
         out[word[heads] + 1] += np.add.reduceat(code & LOW, heads)
         data = out.astype(">u4").tobytes()
-        marks = at - np.repeat(8 * start, sizes)
-        inside = np.arange(len(ids)) - np.repeat(first, sizes)
-        chosen = inside % EVERY == 0
         per = (sizes + EVERY - 1) // EVERY
-        return [data[s : s + o] for s, o in zip(start.tolist(), octets.tolist(), strict=True)], np.split(marks[chosen], np.cumsum(per)[:-1])
+        doc = np.repeat(np.arange(len(sizes)), per)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+        marks = at[first[doc] + EVERY * nth] - 8 * start[doc]
+        return [data[s : s + o] for s, o in zip(start.tolist(), octets.tolist(), strict=True)], np.split(marks, np.cumsum(per)[:-1])
 
     def decode(self, data: bytes, marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids at each checkpoint (a bit offset, and how many ids follow from it), end to end."""
         table = self.table
-        octets = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.int64)
+        octets = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint32)
         wide = (octets[:-3] << 24) | (octets[1:-2] << 16) | (octets[2:-1] << 8) | octets[3:]
-        mask = (1 << self.bits) - 1
-        out = np.zeros((len(marks), int(counts.max(initial=0))), np.int64)
+        mask = np.uint32((1 << self.bits) - 1)
+        out = np.zeros((len(marks), int(counts.max(initial=0))), np.int32)
         at = marks.astype(np.int64).copy()
         by = np.argsort(-counts, kind="stable")
         at, left = at[by], counts[by]
@@ -224,7 +224,7 @@ class Code:
             while live and left[live - 1] <= k:
                 live -= 1
             here = at[:live]
-            look = (wide[here >> 3] >> (32 - self.bits - (here & 7))) & mask
+            look = (wide[here >> 3] >> (32 - self.bits - (here & 7)).astype(np.uint32)) & mask
             found = table[look]
             out[:live, k] = found >> 5
             at[:live] = here + (found & 31)
@@ -253,9 +253,9 @@ def _pack(code, dtype: str):
             return pa.RecordBatch.from_pylist([whole], schema)
 
         for part in slices(batches, "ids", 400_000):
-            raw = part.column("ids").to_pylist()
-            counts = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(dtype).itemsize
-            coded, places = own.encode(np.frombuffer(b"".join(raw), dtype), counts)
+            raw, offsets = column_bytes(part.column("ids"))
+            counts = np.diff(offsets) // np.dtype(dtype).itemsize
+            coded, places = own.encode(raw.view(dtype), counts)
             for doc_id, n, data, places_of in zip(part.column("doc_id").to_pylist(), counts.tolist(), coded, places, strict=True):
                 docs.append(doc_id)
                 sizes.append(n)
@@ -280,7 +280,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     """
     spark = docs.sparkSession
     rows = documents(docs).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    tokens = stored(rows.select("doc_id", "tie", "text").mapInArrow(_tokenize(tokenizer_path, end_id), "doc_id long, tie long, ids binary"), "tokens")
+    tokens = stored(rows.select("doc_id", "tie", "text").mapInArrow(_tokenize(tokenizer_path, end_id), "doc_id long, tie long, ids binary"), "tokens", "snappy")
     dtype = piece_coder(tokenizer_path).dtype.str
     counts = tokens.select("ids").mapInArrow(_counts(dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     ids, n = counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
@@ -311,17 +311,17 @@ def _decode(code):
                 doc = np.repeat(np.arange(len(sizes)), per)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
                 marks = np.array(row["marks"].as_py(), np.int64) + 8 * (np.cumsum(octets) - octets)[doc]
-                ids = own.decode(row["payload"].as_py(), marks, np.minimum(EVERY, sizes[doc] - nth * EVERY)).astype("<u4")
+                ids = own.decode(row["payload"].as_py(), marks, np.minimum(EVERY, sizes[doc] - nth * EVERY))
                 ends = np.cumsum(sizes)
-                data = ids.tobytes()
                 n = len(sizes)
+                data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * np.r_[0, ends]), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "shard": pa.array([row["shard"].as_py()] * n, pa.int32()),
                         "doc_id": row["doc_ids"].values,
                         "local": pa.array(row["first"].as_py() + ends - sizes),
                         "n_tokens": pa.array(sizes),
-                        "ids": pa.array([data[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.binary()),
+                        "ids": data.cast(pa.binary()),
                     }
                 )
 

@@ -248,3 +248,26 @@ def test_op5_texts_whose_chunks_share_no_boundary_are_encoded_whole(spark, monke
     monkeypatch.setattr(token_counts, "_encode_chunks", without_heads)
     found = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path, long_chars=10_000, chunk=5000).collect()}
     assert found == {1: want, 2: len(token_counts.piece_model(path).encode(text + text))}
+
+
+def test_op6_determinants_are_as_low_as_those_of_many_random_starts(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(30, 200))) + "." for _ in range(260)]
+    texts += [" ".join(w + rng.choice(["***", "$$$"]) for w in rng.choices(words, k=60)) for _ in range(50)]
+    texts += [" ".join(w.upper() for w in rng.choices(words, k=80)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    names = [f"x{i}" for i in range(quality.DIM)]
+    rows = common.stored(quality.with_statistics(docs, False).select(F.lit("g").alias("g"), *names), "vectors")
+    found = quality.estimates(rows, 0.75, 8, 100).first()
+    x = np.array([[r[c] for c in names] for r in rows.collect()])
+    floor, scale, n = np.diag([s * s for _, _, s in quality.STATS]), quality.consistency(0.75), len(x)
+    numbers, lowest = np.random.default_rng(0), np.inf
+    for _ in range(200):
+        near = x[numbers.choice(n, 20, replace=False)]
+        for _ in range(30):
+            centre, scatter = near.mean(axis=0), scale * np.cov(near.T, bias=True) + floor
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            near = x[d2 <= np.sort(d2)[int(np.ceil(0.75 * n)) - 1]]
+        lowest = min(lowest, np.linalg.slogdet(scale * np.cov(near.T, bias=True) + floor)[1])
+    assert found["n"] == n and found["log_det"] < lowest + 0.05
