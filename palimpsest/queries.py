@@ -14,7 +14,7 @@ from palimpsest.functions import codec, grammar, hashing
 from palimpsest.operators import diff as d
 from palimpsest.operators import history, merge, objects, segment, store
 from palimpsest.plans.snapshots import Schema, Snapshots
-from palimpsest.plans.storage import shared_dir
+from palimpsest.plans.storage import shared_dir, stored
 from palimpsest.sources.tables import table
 
 VALUES = ["m", "s", "c"]
@@ -348,7 +348,7 @@ def g01_history_closure(spark, sf):
 
 @query(f"with recursive {COMMITS_SQL} select * from (select start, id, height, row_number() over (partition by start order by height desc, id) place from reached) where place <= 10")
 def k01_log(spark, sf):
-    commits = commit_graph(spark, sf)
+    commits = stored(commit_graph(spark, sf), "commits")
     return history.logs(commits, tips(commits), 10)
 
 
@@ -358,7 +358,7 @@ def k01_log(spark, sf):
     select a, b, height, base from (select a, b, height, id base, row_number() over (partition by a, b order by height desc, id) n from common) where n = 1"""
 )
 def k02_merge_base(spark, sf):
-    commits = commit_graph(spark, sf)
+    commits = stored(commit_graph(spark, sf), "commits")
     starts = tips(commits)
     pairs = starts.groupBy(F.expr("start div 2").alias("g")).agg(F.min("start").alias("a"), F.max("start").alias("b"), F.count("*").alias("n")).where("n = 2").select("a", "b")
     return history.nearest_bases(commits, starts, pairs)
