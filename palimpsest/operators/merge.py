@@ -120,11 +120,15 @@ def classified(changed: DataFrame, values: list[str], model: str, strategy: Stra
     return changed.withColumn("class", name)
 
 
-def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, values: list[str], model: str, strategy: Strategy, max_conflicts: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """The merged snapshot, in which conflicts keep ours, and the conflicts. More than ``max_conflicts`` is an error."""
+def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str, values: list[str], model: str, strategy: Strategy, max_conflicts: int | None = 100_000) -> tuple[DataFrame, DataFrame]:
+    """The merged snapshot, in which conflicts keep ours, and the conflicts.
+
+    More than ``max_conflicts`` is an error, for callers that record or gather
+    them; None: any number, as both results stay distributed.
+    """
     rows = classified(zipped(base, ours, theirs, key, values), values, model, strategy)
     conflicts = rows.where(F.col("class").isin(*CONFLICTS.values()))
-    if conflicts.limit(max_conflicts + 1).count() > max_conflicts:
+    if max_conflicts is not None and conflicts.limit(max_conflicts + 1).count() > max_conflicts:
         raise ValueError(f"more than {max_conflicts} conflicts")
     return merged_rows(ours, rows, key, values, strategy), conflicts
 

@@ -164,7 +164,7 @@ def m06_merge_per_cell(spark, sf):
 
 @query(merged_sql(OPAQUE_SQL, "o_c"))
 def m05_merge_opaque(spark, sf):
-    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", merge.OPAQUE)[0]
+    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", merge.OPAQUE, max_conflicts=None)[0]
 
 
 @query(merged_sql(COUNTER_SQL, "o_c + t_c - b_c"))

@@ -39,6 +39,23 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows_of(columns, found.collect()) == rows_of(columns, expected)
 
 
+@pytest.fixture(scope="module")
+def many_conflicts(spark, tmp_path_factory):
+    """Orders that nearly all conflict, over 100,000 of them: ours deletes every key, theirs edits it."""
+    folder = tmp_path_factory.mktemp("many")
+    spark.range(125_000).selectExpr("id * 119 o_orderkey", "id o_custkey", "'O' o_orderstatus", "cast(id as double) o_totalprice").write.parquet(str(folder / "orders.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"create view orders as select * from '{folder}/orders.parquet/*.parquet'")
+    return str(folder), connection
+
+
+@pytest.mark.parametrize("name", ["m05_merge_opaque"])
+def test_merges_take_any_number_of_conflicts(spark, many_conflicts, name):
+    folder, connection = many_conflicts
+    wanted = connection.sql(ORACLE_SQL[name])
+    assert sorted(map(tuple, QUERIES[name](spark, folder).select(*wanted.columns).collect())) == sorted(wanted.fetchall())
+
+
 def test_branch_classes_have_the_known_counts(spark):
     counts = {r["class"]: r["n"] for r in QUERIES["m02_merge_classes"](spark, SF).collect()}
     assert counts == {
