@@ -159,7 +159,7 @@ def m02_conflicts(spark, sf):
 
 @query(merged_sql(PER_CELL_SQL, "case when o_c = b_c then t_c else o_c end"))
 def m06_merge_per_cell(spark, sf):
-    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", merge.PER_CELL)[0]
+    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", merge.PER_CELL, max_conflicts=None)[0]
 
 
 @query(merged_sql(OPAQUE_SQL, "o_c"))
