@@ -715,7 +715,7 @@ RESOLVER_SQL = classes_sql("alike", "o_s <> b_s and t_s <> b_s and o_s <> t_s an
 @query(merged_sql(RESOLVER_SQL, "case when o_c = b_c then t_c when t_c = b_c or o_c > t_c then o_c else t_c end"))
 def m07_user_resolver(spark, sf):
     strategy = merge.Resolver(decide=prefer_x)
-    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", strategy)[0]
+    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", strategy, max_conflicts=None)[0]
 
 
 @query("select p_size \"key\", count(*) n, max(strlen(p_name)) \"location\", max(strlen(p_type)) reason from part group by 1 having count(*) > 4 or max(strlen(p_name)) > 60 or max(strlen(p_type)) > 30")
