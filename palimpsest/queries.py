@@ -169,7 +169,7 @@ def m05_merge_opaque(spark, sf):
 
 @query(merged_sql(COUNTER_SQL, "o_c + t_c - b_c"))
 def m08_merge_counter(spark, sf):
-    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", COUNTER)[0]
+    return merge.merge(base(spark, sf), ours(spark, sf), theirs(spark, sf), "k", VALUES, "m", COUNTER, max_conflicts=None)[0]
 
 
 @query(

@@ -49,7 +49,7 @@ def many_conflicts(spark, tmp_path_factory):
     return str(folder), connection
 
 
-@pytest.mark.parametrize("name", ["m05_merge_opaque", "m06_merge_per_cell", "m07_user_resolver"])
+@pytest.mark.parametrize("name", ["m05_merge_opaque", "m06_merge_per_cell", "m07_user_resolver", "m08_merge_counter"])
 def test_merges_take_any_number_of_conflicts(spark, many_conflicts, name):
     folder, connection = many_conflicts
     wanted = connection.sql(ORACLE_SQL[name])
