@@ -116,12 +116,26 @@ def chain_breaks(records: DataFrame) -> DataFrame:
 
 
 def rendezvous(names: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Volumes of each name by descending score, the first eight bytes of a hash of volume and name; over 64 volumes are refused."""
-    if volumes.limit(65).count() > 64:
+    """name, volume, score, rank: volumes of each name by descending score, the first eight bytes of a hash of volume and name.
+
+    Over 64 volumes are refused, so a name's scores are sorted inside its row,
+    and no task holds more than a row of them; a repeated name counts once for
+    each of its rows.
+    """
+    found = [r[0] for r in volumes.select("volume").limit(65).collect()]
+    if len(found) > 64:
         raise ValueError("at most 64 volumes")
-    score = F.substring(F.sha2(F.concat_ws("\x1f", "volume", "name"), 256), 1, 16)
-    scored = names.join(F.broadcast(volumes)).withColumn("score", score)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "volume")).cast("long"))
+    if not found:
+        found, names = [None], names.limit(0)
+    digits, inverse = "0123456789abcdef", "fedcba9876543210"  # what ascends inverted descends
+    score = lambda volume: F.substring(F.sha2(F.concat_ws("\x1f", volume, "name"), 256), 1, 16)
+    scored = F.array_sort(F.array(*(F.struct(F.translate(score(F.lit(v).cast("string")), digits, inverse).alias("inverted"), F.lit(v).cast("string").alias("volume")) for v in found)))
+    # By another hash than the count, or its few tasks, as names are few bytes, would score them all.
+    counted = names.groupBy("name").agg(F.count("*").alias("n")).repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name"))
+    placed = counted.select("name", "n", F.posexplode(scored).alias("place", "one"))
+    rank = F.col("place") * F.col("n") + F.col("copy")
+    rows = placed.select("name", "place", "n", "one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    return rows.select("name", F.col("one.volume").alias("volume"), F.translate("one.inverted", inverse, digits).alias("score"), rank.alias("rank"))
 
 
 def mark(edges: DataFrame, roots: DataFrame) -> DataFrame:

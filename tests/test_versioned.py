@@ -313,6 +313,19 @@ def test_too_many_volumes_are_refused(spark):
         store.rendezvous(names, volumes(65))
 
 
+def test_volumes_are_ranked_without_a_window(spark):
+    names = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "name string")
+    volumes = spark.createDataFrame([("v1",), ("v2",), ("v3",)], "volume string")
+    placed = store.rendezvous(names, volumes)
+    assert "Window" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for name, n in (("a", 1), ("b", 2), (None, 1)):
+        scores = sorted(((hashlib.sha256("\x1f".join(filter(None, (v, name))).encode()).hexdigest()[:16], v) for v in ("v1", "v2", "v3")), key=lambda x: (-int(x[0], 16), x[1]))
+        want += [(name, v, s, rank + 1) for rank, (s, v) in enumerate(x for x in scores for _ in range(n))]
+    assert sorted(map(tuple, placed.select("name", "volume", "score", "rank").collect()), key=str) == sorted(want, key=str)
+    assert store.rendezvous(names, volumes.limit(0)).count() == 0
+
+
 def test_chunks_equal_those_of_a_plain_loop(spark, monkeypatch):
     import random
 
