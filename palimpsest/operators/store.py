@@ -14,15 +14,32 @@ def has(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     return wanted.join(known, "hash", "left").select("hash", F.coalesce("stored", F.lit(False)).alias("stored"))
 
 
-def new_chunks(incoming: DataFrame, entries: DataFrame, condemned: DataFrame) -> DataFrame:
-    """The incoming hashes that no pack in service holds: chunks of condemned packs are written again."""
-    in_service = entries.join(condemned.select("pack"), "pack", "left_anti").select("hash")
+#: Packs that a join may broadcast; with more, entries are shuffled by pack.
+MAX_BROADCAST = 1_000_000
+
+
+def _few(packs: DataFrame, bound: int) -> DataFrame:
+    """``packs``, stored so that they are made once; with a broadcast hint if there are at most ``bound``."""
+    packs = stored(packs, "packs")
+    return F.broadcast(packs) if packs.count() <= bound else packs
+
+
+def new_chunks(incoming: DataFrame, entries: DataFrame, condemned: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The incoming hashes that no pack in service holds: chunks of condemned packs are written again.
+
+    Up to ``max_broadcast`` condemned packs are broadcast; a hash that many
+    packs hold is then one row a task before it is shuffled.
+    """
+    in_service = entries.join(_few(condemned.select("pack").distinct(), max_broadcast), "pack", "left_anti").select("hash").distinct()
     return incoming.select("hash").distinct().join(in_service, "hash", "left_anti")
 
 
-def first_locations(entries: DataFrame, condemned: DataFrame) -> DataFrame:
-    """The pack that answers for each hash: in service before condemned, then the first listed."""
-    marked = entries.join(condemned.select("pack").withColumn("out", F.lit(1)), "pack", "left")
+def first_locations(entries: DataFrame, condemned: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The pack that answers for each hash: in service before condemned, then the first listed.
+
+    Up to ``max_broadcast`` condemned packs are broadcast.
+    """
+    marked = entries.join(_few(condemned.select("pack").distinct().withColumn("out", F.lit(1)), max_broadcast), "pack", "left")
     place = F.struct(F.coalesce("out", F.lit(0)).alias("out"), "pack", "seq")
     return marked.groupBy("hash").agg(F.min(place).alias("p")).select("hash", "p.pack", "p.seq", (F.col("p.out") == 1).alias("condemned"))
 

@@ -594,7 +594,7 @@ def u01_index_union(spark, sf):
 @query(f"with {ENTRIES_SQL}, counted as (select sha256(cast(p_partkey + 100 as varchar)) hash, p_partkey from part) select p_partkey, hash from counted where hash not in (select hash from entries)")
 def d10_not_survived(spark, sf):
     counted = table(spark, sf, "part").select("p_partkey", hashing.content_hash((F.col("p_partkey") + 100).cast("string")).alias("hash"))
-    return counted.join(entries(spark, sf).select("hash"), "hash", "left_anti").select("p_partkey", "hash")
+    return counted.join(entries(spark, sf).select("hash").distinct(), "hash", "left_anti").select("p_partkey", "hash")
 
 
 @query(

@@ -313,6 +313,23 @@ def test_too_many_volumes_are_refused(spark):
         store.rendezvous(names, volumes(65))
 
 
+def test_condemned_packs_are_broadcast_up_to_a_bound(spark):
+    entries = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 2, 3), ("b", 2, 4), ("c", 3, 5), (None, 1, 6)], "hash string, pack long, seq long")
+    condemned = spark.createDataFrame([(2, 9), (2, 8), (4, 9)], "pack long, condemned_at long")
+    incoming = spark.createDataFrame([("a",), ("b",), ("d",), ("d",)], "hash string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bound, joins in ((2, 1), (1, 2)):
+            new = store.new_chunks(incoming, entries, condemned, bound)
+            first = store.first_locations(entries, condemned, bound)
+            assert sorted(r[0] for r in new.collect()) == ["b", "d"]
+            assert sorted(map(tuple, first.collect()), key=str) == [("a", 1, 1, False), ("b", 2, 3, True), ("c", 3, 5, False), (None, 1, 6, False)]
+            plan = new._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("SortMergeJoin") == joins and plan.count("HashAggregate") == 4  # both sides are distinct before they meet
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_volumes_are_ranked_without_a_window(spark):
     names = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "name string")
     volumes = spark.createDataFrame([("v1",), ("v2",), ("v3",)], "volume string")
