@@ -10,29 +10,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.storage import drop_stored, stored
+from palimpsest.plans.storage import drop_folder, drop_stored, shared_dir, stored, stored_parts
 
 
-def closure(commits: DataFrame, starts: DataFrame, doublings: int = 2) -> DataFrame:
+def closure(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """start, id, height of every commit that each start (start, id) reaches, itself included.
 
-    Edges are first joined with themselves ``doublings`` times, so that a round
-    passes 2 ** doublings generations.
+    A round takes the highest commits that wait and adds their parents to
+    those that wait. All that reaches a commit is higher, so a height is whole
+    when its turn comes and is not compared with what has been reached: a
+    round reads only its own height's pairs and edges. Were a parent no lower
+    than its child, its height would come again, for the pairs that it had not.
     """
-    edges = commits.select("id", F.explode("parents").alias("parent"))
-    for _ in range(doublings):
-        further = edges.select("id", F.col("parent").alias("via")).join(edges.select(F.col("id").alias("via"), "parent"), "via").select("id", "parent")
-        edges = stored(edges.union(further).distinct(), "edges")
-    frontier, rounds = stored(starts.select("start", "id").distinct(), "frontier"), 0
-    seen = frontier
-    while True:
-        reached = frontier.join(edges, "id").select("start", F.col("parent").alias("id")).distinct()
-        frontier = stored(reached.join(seen, ["start", "id"], "left_anti"), "frontier")
-        if not frontier.limit(1).count():
-            return seen.join(commits.select("id", "height"), "id").select("start", "id", "height")
-        seen, rounds = seen.union(frontier), rounds + 1
-        if rounds % 8 == 0:
-            seen = stored(seen, "seen")
+    spark = commits.sparkSession
+    levels = commits.groupBy("id").agg(F.coalesce(F.max("height"), F.lit(0)).alias("level"))
+    above = levels.select(F.col("id").alias("parent"), F.col("level").alias("next"))
+    edges_dir, root = shared_dir(spark, "edges"), shared_dir(spark, "reached")
+    of_level = stored_parts(commits.select("id", F.explode("parents").alias("parent")).where("id <> parent").join(levels, "id").join(above, "parent").select("level", "id", "parent", "next"), edges_dir, "level")
+    first = starts.join(levels, "id").select("start", "id", "level")
+    pair, edge = first.select("start", "id").schema, spark.read.parquet(edges_dir).select("id", "parent", "next").schema if of_level else None
+    new = {level: [path] for level, path in stored_parts(first, f"{root}/round=0", "level").items()}
+    old: dict[int, list[str]] = {}
+    rounds = 0
+    while new:
+        level = max(new)
+        paths = new.pop(level)
+        if level in of_level:
+            fresh = spark.read.schema(pair).parquet(*paths)
+            if level in old:
+                fresh = fresh.join(spark.read.schema(pair).parquet(*old[level]), ["start", "id"], "left_anti")
+            rounds += 1
+            further = fresh.distinct().join(spark.read.schema(edge).parquet(of_level[level]), "id").select("start", F.col("parent").alias("id"), F.col("next").alias("level"))
+            for at, path in stored_parts(further, f"{root}/round={rounds}", "level").items():
+                new.setdefault(at, []).append(path)
+        old.setdefault(level, []).extend(paths)
+    drop_folder(spark, edges_dir)
+    reached = spark.read.schema(pair).parquet(root).select("start", "id").distinct()
+    return reached.join(commits.select("id", "height"), "id").select("start", "id", "height")
 
 
 def log(reached: DataFrame, limit: int) -> DataFrame:

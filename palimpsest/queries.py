@@ -330,7 +330,7 @@ def commit_graph(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.expr("o_custkey div 2").alias("grp"), F.col("o_orderdate").alias("d"))
-    by_group, by_customer = Window.partitionBy("grp").orderBy("d", "id"), Window.partitionBy("cust").orderBy("d", "id")
+    by_group, by_customer = Window.partitionBy("grp").orderBy("d", "id"), Window.partitionBy("grp", "cust").orderBy("d", "id")  # of one shuffle: a customer has one group
     second = F.when(F.col("id") % 3 == 0, F.lag("id").over(by_group))
     parents = F.array_distinct(F.array_compact(F.array(F.lag("id").over(by_customer), second)))
     return o.select("id", "cust", "grp", parents.alias("parents"), (F.row_number().over(by_group) - 1).cast("long").alias("height"))
@@ -342,7 +342,7 @@ def tips(commits: DataFrame) -> DataFrame:
 
 @query(f"with recursive {COMMITS_SQL} select start, id, height from reached")
 def g01_history_closure(spark, sf):
-    commits = commit_graph(spark, sf)
+    commits = stored(commit_graph(spark, sf), "commits")
     return history.closure(commits, tips(commits))
 
 

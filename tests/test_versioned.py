@@ -292,6 +292,40 @@ def test_logs_and_bases_by_frontiers_equal_those_by_closure(spark):
     assert rows(history.nearest_bases(commits, starts, pairs), "a", "b", "height", "base") == rows(history.merge_bases(reached, pairs), "a", "b", "height", "base")
 
 
+@pytest.mark.parametrize("ordered", [True, False])
+def test_closures_move_each_pair_once_for_each_edge(spark, tmp_path, monkeypatch, ordered):
+    import random
+
+    random.seed(5)
+    parents = {i: sorted({random.randrange(max(0, i - 9), i) for _ in range(2)}) if i > 2 else [] for i in range(60)}
+    heights = {}
+    for i, own in parents.items():
+        heights[i] = 1 + max((heights[p] for p in own), default=-1)
+    if not ordered:  # heights that say nothing, a commit that is its own parent, a ring, one that is not there
+        heights = {i: random.randrange(9) for i in parents}
+        parents |= {7: [7, 3], 0: [12], 20: [999, 8]}
+    commits = spark.createDataFrame([(i, own, heights[i]) for i, own in parents.items()], "id long, parents array<long>, height long")
+    starts = {k: random.randrange(30, 60) for k in range(6)}
+    wanted = set()
+    for start, id in starts.items():
+        left = [id]
+        while left:
+            if (start, at := left.pop()) not in wanted and at in parents:
+                wanted.add((start, at))
+                left += parents[at]
+    monkeypatch.setattr(history, "shared_dir", lambda spark, what: str(tmp_path / what))
+    got = [tuple(r) for r in history.closure(commits, spark.createDataFrame(list(starts.items()), "start long, id long")).collect()]
+    assert sorted(got) == sorted((s, i, heights[i]) for s, i in wanted)
+    if ordered:
+        assert spark.read.parquet(str(tmp_path / "reached")).count() == len(starts) + sum(len(parents[i]) for _, i in wanted)
+    assert not (tmp_path / "edges").exists()
+
+
+def test_closure_of_no_starts_is_empty(spark):
+    commits = spark.createDataFrame([(1, [], 0)], "id long, parents array<long>, height long")
+    assert history.closure(commits, spark.createDataFrame([], "start long, id long")).count() == 0
+
+
 def test_row_hashes_tell_separators_and_nulls_apart(spark):
     frame = lambda rows: spark.createDataFrame(rows, "k long, a string, b string")
     before, after = frame([(1, "a\x1fb", "c"), (2, None, "x"), (3, "1:a", "")]), frame([(1, "a", "b\x1fc"), (2, "\x00", "x"), (3, "1:a", None)])
