@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,56 @@ LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: A piece ends where no token of a byte-level BPE can go on: before white space, and between a Latin word and these marks.
 PIECE = re.compile(f"[ ]?[{LATIN}]+(?=[.,;:!?*&%$#|{WHITE}]|$)|[ ]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
+#: Classes of characters: white space, Latin letters, marks that end a Latin word; 0 is all others.
+SPACE, LETTER, MARK = 1, 2, 3
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Of each character up to the highest white space, its class."""
+    out = np.zeros(0x3001, np.uint8)
+    for number, members in ((SPACE, WHITE), (LETTER, LATIN), (MARK, ".,;:!?*&%$#|")):
+        out[[ord(c) for c in re.findall(f"[{members}]", "".join(map(chr, range(len(out)))))]] = number
+    return out
+
+
+def pieces_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces that ``PIECE`` finds in each text of UTF-8, end to end, and where each text's begin, with the end.
+
+    Only ends of runs of a class are looked at, as pieces end nowhere else but
+    before the last white space of several.
+    """
+    ends = np.cumsum([0, *map(len, texts)])
+    joined = b"".join(texts)
+    data, table = np.frombuffer(joined, np.uint8), _classes()
+    kind = np.r_[table[:128], np.zeros(128, np.uint8)][data]
+    for low, high, octets in ((0xC2, 0xDF, 2), (0xE0, 0xEF, 3)):
+        at = np.flatnonzero((data >= low) & (data <= high))
+        code = data[at] & np.int32(0x3F >> (octets - 1))
+        for k in range(1, octets):
+            code = code << 6 | (data[at + k] & 0x3F)
+        own = np.where(code < len(table), table[np.minimum(code, len(table) - 1)], 0)
+        for k in range(octets):
+            kind[at + k] = own
+    text_begins = np.zeros(len(data) + 1, bool)
+    text_begins[ends] = True
+    begins = text_begins[:-1].copy()
+    begins[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(begins)
+    own, first = kind[run], text_begins[run]
+    before, twice = np.r_[0, own[:-1]], np.r_[0, 0, own[:-2]][: len(own)]
+    after_first = np.r_[False, first[:-1]]
+    after_space = ~first & (own != SPACE) & (before == SPACE)
+    cut = first | (~first & (own == SPACE)) | (after_space & (data[run - 1] != 32)) | (~first & (own == MARK) & (before == LETTER) & (after_first | (twice == SPACE)))
+    word = run[after_space]
+    last = word - 1
+    for _ in range(2):
+        last = last - ((data[last] & 0xC0) == 0x80)
+    last = last[last > run[np.flatnonzero(after_space) - 1]]
+    at = np.sort(np.r_[run[cut], last])
+    offsets = np.r_[at, len(data)].astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]), np.searchsorted(at, ends).astype(np.int32)
+
 
 @lru_cache(maxsize=2)
 def piece_coder(path: str) -> PieceCoder:
@@ -93,14 +142,13 @@ class PieceCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not any(t in x for t in self.added) for x in texts]
-        pieces = [PIECE.findall(x) if p else [] for x, p in zip(texts, plain, strict=True)]
+        pieces, offsets = pieces_of([x.encode() if p else b"" for x, p in zip(texts, plain, strict=True)])
         # Arrow finds the distinct pieces and puts their ids in the pieces' places.
-        coded = pa.array(chain.from_iterable(pieces), pa.string()).dictionary_encode()
+        coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         self.learn(distinct)
         placed = pa.array(map(self.known.__getitem__, distinct), pa.binary(), size=len(distinct)).take(coded.indices)
-        offsets = pa.array(np.cumsum([0, *map(len, pieces)]), pa.int32())
-        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, placed), pa.scalar(b"", pa.binary())).to_pylist()
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), placed), pa.scalar(b"", pa.binary())).to_pylist()
         return [x if p else self.whole(t) for x, p, t in zip(joined, plain, texts, strict=True)]
 
 

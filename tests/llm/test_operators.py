@@ -401,3 +401,13 @@ def test_pipeline_keeps_columns_and_agrees_with_its_operators(spark):
         kept = common.stored(stage(spark, before, SF), name)
         assert kept.columns == before.columns
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_op1_pieces_are_those_of_their_pattern():
+    rng = random.Random(1)
+    letters = "ab é×.,!  \n\t\u2000\u3000\xa0\x85#xß漢😀9_ɏɐ "
+    for _ in range(1500):
+        texts = ["".join(rng.choices(letters, k=rng.randrange(14))) for _ in range(rng.randrange(7))]
+        pieces, begins = token_files.pieces_of([x.encode() for x in texts])
+        found = pieces.to_pylist()
+        assert [found[a:b] for a, b in zip(begins, begins[1:], strict=False)] == [token_files.PIECE.findall(x) for x in texts]
